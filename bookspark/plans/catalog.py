@@ -128,3 +128,115 @@ def q_weekday_spread(spark, sf):
 @register("weekend_effect")
 def q_weekend_effect(spark, sf):
     return A.weekend_effect(T.sales(spark, sf))
+
+
+# ----------------------------------------------------------------- cleaning
+
+def _clean(spark, sf):
+    """sales_raw -> inferred mapping -> clean.  25 nations bound the files."""
+    from bookspark.operators import cleaning as C
+    return C.clean(T.sales_raw(spark, sf), n_files=25)
+
+
+@register("clean_rows")
+def q_clean_rows(spark, sf):
+    return _clean(spark, sf).clean
+
+
+@register("clean_report")
+def q_clean_report(spark, sf):
+    return _clean(spark, sf).report.drop("blanks_filled", "columns_renamed")
+
+
+@register("dedupe_exact")
+def q_dedupe_exact(spark, sf):
+    from bookspark.operators import cleaning as C
+    from bookspark.operators import mapping as M
+    raw = T.sales_raw(spark, sf)
+    d = C.dedupe(raw.select("_file", "_row", *[F.col(f"`{c}`") for c in M.data_columns(raw)]))
+    return d.groupBy("_file").agg(F.sum("_copies").cast("bigint").alias("rows_in"),
+                                  F.count(F.lit(1)).alias("distinct_rows"),
+                                  F.sum(F.col("_copies") - 1).cast("bigint").alias("duplicates_removed"))
+
+
+@register("date_order_by_file")
+def q_date_order_by_file(spark, sf):
+    from bookspark.operators import cleaning as C
+    raw = T.sales_raw(spark, sf)
+    d = C.dedupe(raw.withColumnRenamed("Date", "date"))
+    return C.date_order_stats(d)
+
+
+@register("parse_mixed_dates")
+def q_parse_mixed_dates(spark, sf):
+    f = _clean(spark, sf).flagged
+    return f.select("_file", "_row", "order_id", "date")
+
+
+@register("parse_numbers")
+def q_parse_numbers(spark, sf):
+    return _clean(spark, sf).clean.select("_file", "_row", "qty", "unit_price", "total")
+
+
+@register("currency_count")
+def q_currency_count(spark, sf):
+    return _clean(spark, sf).report.select("_file", "currency_stripped")
+
+
+@register("fill_blanks")
+def q_fill_blanks(spark, sf):
+    return _clean(spark, sf).report.select(
+        "_file", "blanks_product", "blanks_vendor", "blanks_channel", "blanks_payment_method")
+
+
+@register("normalise_categories")
+def q_normalise_categories(spark, sf):
+    raw = T.sales_raw(spark, sf)
+    from bookspark.functions.text import normalise_category
+    from bookspark.operators.cleaning import CHANNEL_ALIASES, PAYMENT_ALIASES, _aliases
+    from bookspark.functions.text import py_strip
+    parts = []
+    for src, name, aliases in (("channel", "channel", CHANNEL_ALIASES),
+                               ("Payment Method", "payment_method", PAYMENT_ALIASES)):
+        v = F.col(f"`{src}`")
+        parts.append(raw.groupBy(v.alias("raw_value")).agg(F.count(F.lit(1)).alias("rows"))
+                     .select(F.lit(name).alias("column"), "raw_value",
+                             _aliases(normalise_category(py_strip(F.coalesce(F.col("raw_value"), F.lit("unknown")))),
+                                      aliases).alias("value"), "rows"))
+    return parts[0].unionByName(parts[1])
+
+
+@register("title_products")
+def q_title_products(spark, sf):
+    from bookspark.functions.text import collapse_ws, py_strip, py_title
+    raw = T.sales_raw(spark, sf)
+    g = raw.groupBy(F.col("`Product `").alias("raw_value")).agg(F.count(F.lit(1)).alias("rows"))
+    return g.select("raw_value",
+                    collapse_ws(py_title(py_strip(F.coalesce("raw_value", F.lit("unknown"))))).alias("product"),
+                    "rows")
+
+
+@register("arithmetic_mismatches")
+def q_arithmetic_mismatches(spark, sf):
+    return _clean(spark, sf).mismatches
+
+
+@register("mismatch_sample")
+def q_mismatch_sample(spark, sf):
+    from bookspark.operators.cleaning import MISMATCH_SAMPLE
+    from pyspark.sql import Window
+    m = _clean(spark, sf).mismatches
+    w = Window.partitionBy("_file").orderBy("_row", "order_id", "recorded_total", "expected_total")
+    return m.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= MISMATCH_SAMPLE).drop("_k")
+
+
+@register("summary_lines")
+def q_summary_lines(spark, sf):
+    from bookspark.operators import cleaning as C
+    return C.summary_lines(_clean(spark, sf).report)
+
+
+@register("clean_status")
+def q_clean_status(spark, sf):
+    from bookspark.operators import cleaning as C
+    return C.status(_clean(spark, sf).report)

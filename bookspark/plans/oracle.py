@@ -220,3 +220,194 @@ ORACLE["weekend_effect"] = _with(SALES) + """
 SELECT *, COALESCE(weekday_avg <> 0 AND abs(weekend_avg - weekday_avg) / weekday_avg > 0.15, false) AS reported,
        CASE WHEN weekend_avg > weekday_avg THEN 'weekend' ELSE 'weekday' END AS higher
 FROM a"""
+
+
+# ----------------------------------------------------------------- cleaning
+
+RAW = """
+j AS (
+  SELECT l.l_orderkey, l.l_linenumber, l.l_quantity, l.l_extendedprice,
+         CAST(l.l_shipdate AS DATE) AS d, p.p_name, s.s_name, s.s_nationkey
+  FROM lineitem l
+  JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN part p ON l.l_partkey = p.p_partkey
+  JOIN supplier s ON l.l_suppkey = s.s_suppkey
+),
+k AS (
+  SELECT *, l_orderkey * 10 + l_linenumber AS _k,
+         CAST(round(l_extendedprice * 100) AS BIGINT) AS tc,
+         CAST(floor((2 * CAST(round(l_extendedprice * 100) AS BIGINT) + CAST(l_quantity AS BIGINT))
+                    / (2 * CAST(l_quantity AS BIGINT))) AS BIGINT) AS uc
+  FROM j
+),
+base AS (
+  SELECT 'shop_' || CAST(s_nationkey AS VARCHAR) AS _file, _k,
+         CASE WHEN _k % 211 = 0 THEN 'not a date'
+              WHEN _k % 100 < 80 THEN CASE WHEN s_nationkey % 2 = 1 THEN strftime(d, '%m/%d/%Y')
+                                           ELSE strftime(d, '%d/%m/%Y') END
+              WHEN _k % 100 < 92 THEN strftime(d, '%d-%b-%Y')
+              ELSE strftime(d, '%Y-%m-%d') END AS "Date",
+         CAST(l_orderkey AS VARCHAR) AS "order id",
+         CASE WHEN _k % 10 = 0 THEN '  ' || upper(p_name) || '  ' ELSE p_name END AS "Product ",
+         CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS "Qty",
+         CASE WHEN _k % 25 = 0 THEN 'NGN' || format('{:,}', uc // 100) || '.' || lpad(CAST(uc % 100 AS VARCHAR), 2, '0')
+              ELSE CAST(uc // 100 AS VARCHAR) || '.' || lpad(CAST(uc % 100 AS VARCHAR), 2, '0') END AS "Unit Price (NGN)",
+         CAST((CASE WHEN _k % 997 = 0 THEN tc * 2 ELSE tc END) // 100 AS VARCHAR) || '.'
+           || lpad(CAST((CASE WHEN _k % 997 = 0 THEN tc * 2 ELSE tc END) % 100 AS VARCHAR), 2, '0') AS "Total",
+         s_name AS "Vendor",
+         CASE WHEN _k % 37 = 0 THEN NULL
+              ELSE ['app', 'App', 'APP', 'walk-in', 'Walk In', 'walkin', 'phone', 'Phone'][_k % 8 + 1] END AS channel,
+         CASE WHEN _k % 33 = 0 THEN NULL
+              ELSE ['transfer', 'Transfer', 'cash', 'Cash', 'card', 'POS', 'pos'][_k % 7 + 1] END AS "Payment Method"
+  FROM k
+),
+raw AS (
+  SELECT _file, _k * 2 AS _row, * EXCLUDE (_file, _k) FROM base
+  UNION ALL
+  SELECT _file, _k * 2 + 1 AS _row, * EXCLUDE (_file, _k) FROM base WHERE _k % 401 = 0
+)"""
+
+DEDUPED = """
+dd AS (
+  SELECT _file, "Date" AS date, "order id" AS order_id, "Product " AS product, "Qty" AS qty,
+         "Unit Price (NGN)" AS unit_price, "Total" AS total, "Vendor" AS vendor, channel,
+         "Payment Method" AS payment_method, MIN(_row) AS _row, COUNT(*) AS _copies
+  FROM raw GROUP BY ALL
+),
+pd AS (
+  SELECT *, COALESCE(CAST(try_strptime(date, '%Y-%m-%d') AS DATE), CAST(try_strptime(date, '%d-%b-%Y') AS DATE)) AS _u,
+         CAST(try_strptime(date, '%d/%m/%Y') AS DATE) AS _dmy,
+         CAST(try_strptime(date, '%m/%d/%Y') AS DATE) AS _mdy
+  FROM dd
+),
+fs AS (
+  SELECT _file,
+         COUNT(*) FILTER (WHERE _u IS NULL AND _dmy IS NOT NULL) AS dmy_hits,
+         COUNT(*) FILTER (WHERE _u IS NULL AND _mdy IS NOT NULL) AS mdy_hits,
+         bool_and(unit_price IS NULL OR TRY_CAST(unit_price AS DOUBLE) IS NOT NULL) AS price_plain
+  FROM pd GROUP BY _file
+),
+fl AS (
+  SELECT pd._file, pd._row, pd._copies, pd.order_id,
+         COALESCE(pd._u, CASE WHEN fs.dmy_hits >= fs.mdy_hits THEN pd._dmy ELSE pd._mdy END) AS date,
+         TRY_CAST(regexp_replace(pd.qty, '[^0-9.\\-]', '', 'g') AS DOUBLE) AS qty,
+         TRY_CAST(regexp_replace(pd.unit_price, '[^0-9.\\-]', '', 'g') AS DOUBLE) AS unit_price,
+         TRY_CAST(regexp_replace(pd.total, '[^0-9.\\-]', '', 'g') AS DOUBLE) AS total,
+         COALESCE(NOT fs.price_plain AND regexp_matches(pd.unit_price, '[^\\d.]'), false) AS _currency,
+         pd.product IS NULL AS _blank_product, pd.vendor IS NULL AS _blank_vendor,
+         pd.channel IS NULL AS _blank_channel, pd.payment_method IS NULL AS _blank_payment_method,
+         regexp_replace(
+           array_to_string(list_transform(
+             regexp_extract_all(lower(regexp_replace(COALESCE(pd.product, 'unknown'), '^\\s+|\\s+$', '', 'g')), '(\\pL+|[^\\pL]+)'),
+             lambda x: upper(x[1]) || x[2:]), ''),
+           '\\s+', ' ', 'g') AS product,
+         regexp_replace(COALESCE(pd.vendor, 'unknown'), '^\\s+|\\s+$', '', 'g') AS vendor,
+         CASE regexp_replace(regexp_replace(lower(regexp_replace(COALESCE(pd.channel, 'unknown'), '^\\s+|\\s+$', '', 'g')), '[\\s_-]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')
+              WHEN 'walk in' THEN 'walk-in' WHEN 'walkin' THEN 'walk-in'
+              ELSE regexp_replace(regexp_replace(lower(regexp_replace(COALESCE(pd.channel, 'unknown'), '^\\s+|\\s+$', '', 'g')), '[\\s_-]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') END AS channel,
+         CASE regexp_replace(regexp_replace(lower(regexp_replace(COALESCE(pd.payment_method, 'unknown'), '^\\s+|\\s+$', '', 'g')), '[\\s_-]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')
+              WHEN 'pos' THEN 'card'
+              ELSE regexp_replace(regexp_replace(lower(regexp_replace(COALESCE(pd.payment_method, 'unknown'), '^\\s+|\\s+$', '', 'g')), '[\\s_-]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') END AS payment_method
+  FROM pd JOIN fs USING (_file)
+),
+fm AS (
+  SELECT *, qty * unit_price AS _expected,
+         COALESCE(abs(total - qty * unit_price) > 1, false) AS _mismatch,
+         date IS NOT NULL AS _date_ok
+  FROM fl
+),
+rep AS (
+  SELECT _file,
+         CAST(SUM(_copies) AS BIGINT) AS rows_in,
+         COUNT(*) FILTER (WHERE _date_ok) AS rows_out,
+         CAST(SUM(_copies - 1) AS BIGINT) AS duplicates_removed,
+         COUNT(*) FILTER (WHERE _date_ok) AS dates_parsed,
+         COUNT(*) FILTER (WHERE NOT _date_ok) AS dates_failed,
+         COUNT(*) FILTER (WHERE _date_ok AND _currency) AS currency_stripped,
+         COUNT(*) FILTER (WHERE _date_ok AND _mismatch) AS total_mismatches,
+         COUNT(*) FILTER (WHERE _date_ok AND _blank_product) AS blanks_product,
+         COUNT(*) FILTER (WHERE _date_ok AND _blank_vendor) AS blanks_vendor,
+         COUNT(*) FILTER (WHERE _date_ok AND _blank_channel) AS blanks_channel,
+         COUNT(*) FILTER (WHERE _date_ok AND _blank_payment_method) AS blanks_payment_method
+  FROM fm GROUP BY _file
+)"""
+
+ORACLE["clean_rows"] = _with(RAW, DEDUPED) + """
+SELECT _file, _row, order_id, date, product, qty, unit_price, total, vendor, channel, payment_method
+FROM fm WHERE _date_ok"""
+
+ORACLE["clean_report"] = _with(RAW, DEDUPED) + "SELECT * FROM rep"
+
+ORACLE["dedupe_exact"] = _with(RAW) + """
+SELECT _file, CAST(SUM(_copies) AS BIGINT) AS rows_in, COUNT(*) AS distinct_rows,
+       CAST(SUM(_copies - 1) AS BIGINT) AS duplicates_removed
+FROM (SELECT _file, "Date", "order id", "Product ", "Qty", "Unit Price (NGN)", "Total", "Vendor", channel,
+             "Payment Method", COUNT(*) AS _copies FROM raw GROUP BY ALL) g
+GROUP BY _file"""
+
+ORACLE["date_order_by_file"] = _with(RAW, DEDUPED) + """
+SELECT _file, dmy_hits, mdy_hits, dmy_hits >= mdy_hits AS day_first FROM fs"""
+
+ORACLE["parse_mixed_dates"] = _with(RAW, DEDUPED) + "SELECT _file, _row, order_id, date FROM fm"
+
+ORACLE["parse_numbers"] = _with(RAW, DEDUPED) + """
+SELECT _file, _row, qty, unit_price, total FROM fm WHERE _date_ok"""
+
+ORACLE["currency_count"] = _with(RAW, DEDUPED) + "SELECT _file, currency_stripped FROM rep"
+
+ORACLE["fill_blanks"] = _with(RAW, DEDUPED) + """
+SELECT _file, blanks_product, blanks_vendor, blanks_channel, blanks_payment_method FROM rep"""
+
+ORACLE["normalise_categories"] = _with(RAW) + """
+, c AS (SELECT 'channel' AS "column", channel AS raw_value, COUNT(*) AS "rows" FROM raw GROUP BY 2
+        UNION ALL
+        SELECT 'payment_method', "Payment Method", COUNT(*) FROM raw GROUP BY 2)
+, n AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(COALESCE(raw_value, 'unknown'), '^\\s+|\\s+$', '', 'g')), '[\\s_-]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS v FROM c)
+SELECT "column", raw_value,
+       CASE WHEN "column" = 'channel' AND v IN ('walk in', 'walkin') THEN 'walk-in'
+            WHEN "column" = 'payment_method' AND v = 'pos' THEN 'card' ELSE v END AS value,
+       "rows"
+FROM n"""
+
+ORACLE["title_products"] = _with(RAW) + """
+, g AS (SELECT "Product " AS raw_value, COUNT(*) AS "rows" FROM raw GROUP BY 1)
+SELECT raw_value,
+       regexp_replace(array_to_string(list_transform(
+         regexp_extract_all(lower(regexp_replace(COALESCE(raw_value, 'unknown'), '^\\s+|\\s+$', '', 'g')), '(\\pL+|[^\\pL]+)'),
+         lambda x: upper(x[1]) || x[2:]), ''), '\\s+', ' ', 'g') AS product,
+       "rows"
+FROM g"""
+
+ORACLE["arithmetic_mismatches"] = _with(RAW, DEDUPED) + """
+SELECT _file, _row, order_id, total AS recorded_total, _expected AS expected_total
+FROM fm WHERE _date_ok AND _mismatch"""
+
+ORACLE["mismatch_sample"] = _with(RAW, DEDUPED) + """
+SELECT _file, _row, order_id, recorded_total, expected_total FROM (
+  SELECT _file, _row, order_id, total AS recorded_total, _expected AS expected_total,
+         ROW_NUMBER() OVER (PARTITION BY _file ORDER BY _row, order_id, total, _expected) AS _k
+  FROM fm WHERE _date_ok AND _mismatch) WHERE _k <= 50"""
+
+ORACLE["summary_lines"] = _with(RAW, DEDUPED) + """
+SELECT _file, list_filter([
+  'Loaded ' || rows_in || ' rows, kept ' || rows_out || '.',
+  CASE WHEN duplicates_removed > 0 THEN 'Removed ' || duplicates_removed || ' duplicate rows.' END,
+  CASE WHEN currency_stripped > 0 THEN 'Stripped currency text from ' || currency_stripped || ' price cells.' END,
+  CASE WHEN dates_failed > 0 THEN dates_failed || ' dates could not be parsed.' END,
+  CASE WHEN blanks_product > 0 THEN 'Filled ' || blanks_product || ' blank values in ''product'' as ''unknown''.' END,
+  CASE WHEN blanks_vendor > 0 THEN 'Filled ' || blanks_vendor || ' blank values in ''vendor'' as ''unknown''.' END,
+  CASE WHEN blanks_channel > 0 THEN 'Filled ' || blanks_channel || ' blank values in ''channel'' as ''unknown''.' END,
+  CASE WHEN blanks_payment_method > 0 THEN 'Filled ' || blanks_payment_method || ' blank values in ''payment_method'' as ''unknown''.' END,
+  CASE WHEN total_mismatches > 0 THEN 'Found ' || total_mismatches || ' rows where Total does not equal Qty x Unit Price — likely manual entry errors.' END
+], lambda x: x IS NOT NULL) AS lines
+FROM rep"""
+
+ORACLE["clean_status"] = _with(RAW, DEDUPED) + """
+SELECT _file, CASE WHEN rows_out > 0 THEN 'ok' ELSE 'empty' END AS status,
+       CASE WHEN rows_out > 0 THEN NULL
+            WHEN rows_in = 0 THEN 'The file has no data rows — only a header, or nothing at all.'
+            WHEN dates_failed > 0 AND dates_failed >= rows_in - duplicates_removed
+              THEN 'All ' || rows_in || ' row(s) were read, but every date failed to parse — check the date column''s format.'
+            WHEN duplicates_removed >= rows_in THEN 'All ' || rows_in || ' row(s) were exact duplicates of each other.'
+            ELSE rows_in || ' row(s) were read, but none survived cleaning.' END AS error
+FROM rep"""
