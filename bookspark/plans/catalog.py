@@ -240,3 +240,93 @@ def q_summary_lines(spark, sf):
 def q_clean_status(spark, sf):
     from bookspark.operators import cleaning as C
     return C.status(_clean(spark, sf).report)
+
+
+# ---------------------------------------------------------------- retrieval
+
+# Fixed literal questions run against the index (one repeats a term).
+SEARCH_QUERIES = [
+    (1, "small ring sales in January"),
+    (2, "urgent orders paid F on a Friday"),
+    (3, "blue bolt blue bolt from Supplier#000000001"),
+    (4, "nothing matches zzzz"),
+]
+DOCUMENT_QUERIES = [
+    (1, "the and of"),
+    (2, "der die und"),
+    (3, "license copyright"),
+]
+
+
+def _queries_df(spark, rows):
+    return spark.createDataFrame(rows, "query_id int, text string")
+
+
+def _sales_docs(spark, sf):
+    from bookspark.operators import retrieval as R
+    return R.row_documents(T.sales(spark, sf), id_col="line_id")
+
+
+@register("row_documents")
+def q_row_documents(spark, sf):
+    return _sales_docs(spark, sf)
+
+
+@register("bm25_terms")
+def q_bm25_terms(spark, sf):
+    from bookspark.operators import retrieval as R
+    return R.build_index(_sales_docs(spark, sf)).terms
+
+
+@register("bm25_search")
+def q_bm25_search(spark, sf):
+    from bookspark.operators import retrieval as R
+    idx = R.build_index(_sales_docs(spark, sf))
+    return R.search(idx, _queries_df(spark, SEARCH_QUERIES), top_k=20)
+
+
+@register("bm25_documents")
+def q_bm25_documents(spark, sf):
+    """BM25 over the whole ``documents`` table (real multi-language text)."""
+    from bookspark.operators import retrieval as R
+    docs = T.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    idx = R.build_index(docs)
+    return R.search(idx, _queries_df(spark, DOCUMENT_QUERIES), top_k=10)
+
+
+@register("retrieval_summary")
+def q_retrieval_summary(spark, sf):
+    from bookspark.operators import retrieval as R
+    s = T.sales(spark, sf)
+    idx = R.build_index(R.row_documents(s, id_col="line_id"))
+    return R.retrieval_summary(s, idx, _queries_df(spark, SEARCH_QUERIES), top_k=50, id_col="line_id")
+
+
+# ------------------------------------------------------------- verification
+
+@register("extract_numbers")
+def q_extract_numbers(spark, sf):
+    from bookspark.functions.numbers import extract_numbers
+    n = T.narrations(spark, sf)
+    return n.select("id", F.posexplode(extract_numbers(F.col("answer1"))).alias("pos", "token"))
+
+
+@register("unsupported_numbers")
+def q_unsupported_numbers(spark, sf):
+    from bookspark.operators import verify as V
+    n = T.narrations(spark, sf)
+    return n.select("id", V.unsupported_numbers(F.col("answer1"), F.col("context")).alias("unsupported"))
+
+
+@register("resolve_attempts")
+def q_resolve_attempts(spark, sf):
+    from bookspark.operators import verify as V
+    r = V.resolve_attempts(T.narrations(spark, sf))
+    return r.select("id", "state", "verified", "retried", "unsupported")
+
+
+@register("flag_text")
+def q_flag_text(spark, sf):
+    from bookspark.operators import verify as V
+    r = V.resolve_attempts(T.narrations(spark, sf))
+    return r.filter(F.col("state") == "flagged").select("id", "text")

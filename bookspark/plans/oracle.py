@@ -15,7 +15,8 @@ sales AS (
          l.l_extendedprice AS total,
          s.s_name AS vendor,
          o.o_orderpriority AS channel,
-         o.o_orderstatus AS payment_method
+         o.o_orderstatus AS payment_method,
+         concat_ws('-', l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey) AS line_id
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN part p ON l.l_partkey = p.p_partkey
@@ -411,3 +412,126 @@ SELECT _file, CASE WHEN rows_out > 0 THEN 'ok' ELSE 'empty' END AS status,
             WHEN duplicates_removed >= rows_in THEN 'All ' || rows_in || ' row(s) were exact duplicates of each other.'
             ELSE rows_in || ' row(s) were read, but none survived cleaning.' END AS error
 FROM rep"""
+
+
+# ---------------------------------------------------------------- retrieval
+
+def _values(rows) -> str:
+    return ", ".join(f"({i}, '{t}')" for i, t in rows)
+
+
+def _bm25(docs_sql: str, queries, top_k: int) -> str:
+    return f"""
+docs AS ({docs_sql}),
+lens AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS length FROM docs),
+toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM docs),
+tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM toks GROUP BY ALL),
+st AS (SELECT COUNT(*) AS n, CAST(SUM(length) AS DOUBLE) / GREATEST(COUNT(*), 1) AS avg_len FROM lens),
+idf AS (SELECT term, COUNT(*) AS df, ln(1 + ((SELECT n FROM st) - COUNT(*) + 0.5) / (COUNT(*) + 0.5)) AS idf
+        FROM tf GROUP BY term),
+q AS (SELECT * FROM (VALUES {_values(queries)}) t(query_id, text)),
+qt AS (SELECT query_id, term, COUNT(*) AS qtf
+       FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM q) GROUP BY ALL),
+sc AS (SELECT qt.query_id, tf.doc_id,
+              SUM(idf.idf * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * lens.length / st.avg_len)) * qt.qtf) AS score
+       FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN lens USING (doc_id) CROSS JOIN st
+       GROUP BY ALL),
+hits AS (SELECT query_id, doc_id, score, rank FROM (
+           SELECT query_id, doc_id, round(score, 6) AS score,
+                  ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id ASC) AS rank
+           FROM sc WHERE score > 0) WHERE rank <= {top_k})"""
+
+
+SALES_DOCS = ("SELECT line_id AS doc_id, concat_ws(' ', product, vendor, channel, payment_method, "
+              "strftime(date, '%B %Y %A')) AS text FROM sales")
+
+from bookspark.plans.catalog import DOCUMENT_QUERIES, SEARCH_QUERIES  # noqa: E402
+
+ORACLE["row_documents"] = _with(SALES) + ", docs AS (" + SALES_DOCS + ") SELECT * FROM docs"
+
+ORACLE["bm25_terms"] = _with(SALES, _bm25(SALES_DOCS, SEARCH_QUERIES, 20)) + "SELECT term, df, idf FROM idf"
+
+ORACLE["bm25_search"] = _with(SALES, _bm25(SALES_DOCS, SEARCH_QUERIES, 20)) + "SELECT * FROM hits"
+
+ORACLE["bm25_documents"] = _with(_bm25("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents",
+                                       DOCUMENT_QUERIES, 10)) + "SELECT * FROM hits"
+
+ORACLE["retrieval_summary"] = _with(SALES, _bm25(SALES_DOCS, SEARCH_QUERIES, 50)) + f"""
+, agg AS (SELECT h.query_id, {MONEY.replace('total', 's.total')} AS total_revenue, COUNT(*) AS orders,
+                 MIN(s.date) AS first_date, MAX(s.date) AS last_date
+          FROM hits h JOIN sales s ON s.line_id = h.doc_id GROUP BY h.query_id)
+, whole AS (SELECT {MONEY} AS all_revenue, COUNT(*) AS all_orders, MIN(date) AS all_first,
+                   MAX(date) AS all_last FROM sales)
+SELECT q.query_id,
+       CASE WHEN a.orders IS NOT NULL THEN a.total_revenue ELSE w.all_revenue END AS total_revenue,
+       CASE WHEN a.orders IS NOT NULL THEN a.orders ELSE w.all_orders END AS orders,
+       CASE WHEN a.orders IS NOT NULL THEN a.first_date ELSE w.all_first END AS first_date,
+       CASE WHEN a.orders IS NOT NULL THEN a.last_date ELSE w.all_last END AS last_date,
+       CASE WHEN a.orders IS NOT NULL THEN 'Summary of the ' || a.orders || ' orders most relevant to your question'
+            ELSE 'Overall sales performance' END AS headline
+FROM q LEFT JOIN agg a USING (query_id) CROSS JOIN whole w"""
+
+
+# ------------------------------------------------------------- verification
+
+NARRATIONS = f"""
+g AS (SELECT vendor, product, {MONEY} AS revenue, COUNT(*) AS orders, SUM(qty) AS units
+      FROM sales GROUP BY vendor, product),
+nar AS (
+  SELECT vendor || ' | ' || product AS id,
+         'Sales of ' || product || ' via ' || vendor || chr(10) || 'revenue: NGN ' || format('{{:,}}', CAST(floor(revenue) AS BIGINT))
+           || chr(10) || 'orders: ' || format('{{:,}}', orders) || chr(10) || 'units: ' || printf('%.1f', units) AS context,
+         'You earned NGN ' || format('{{:,}}', CASE WHEN orders % 3 = 0 THEN CAST(floor(revenue) AS BIGINT) + 1000
+                                                   ELSE CAST(floor(revenue) AS BIGINT) END)
+           || ' from ' || product || ' across ' || orders || ' orders.' AS answer1,
+         CASE WHEN orders % 7 = 0 THEN NULL
+              ELSE '<think>checking</think> Your ' || product || ' sales reached NGN ' || format('{{:,}}', CAST(floor(revenue) AS BIGINT))
+                   || ' over ' || orders || ' orders, ' || printf('%.1f', CASE WHEN orders % 5 = 0 THEN units + 7 ELSE units END)
+                   || ' units in 3 years.' END AS answer2
+  FROM g
+)"""
+
+NUM = r"\d[\d,]*(?:\.\d+)?%?"
+
+
+def _norm(x: str) -> str:
+    return f"regexp_replace(replace(regexp_replace({x}, '%$', ''), ',', ''), '\\.0$', '')"
+
+
+def _unsupported(answer: str, context: str) -> str:
+    return (f"list_filter(regexp_extract_all({answer}, '{NUM}'), lambda x: NOT regexp_matches(x, '^\\d$') "
+            f"AND NOT list_contains(list_transform(regexp_extract_all({context}, '{NUM}'), lambda y: {_norm('y')}), {_norm('x')}))")
+
+
+ORACLE["extract_numbers"] = _with(SALES, NARRATIONS) + f"""
+SELECT id, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS token
+FROM (SELECT id, regexp_extract_all(answer1, '{NUM}') AS l FROM nar)"""
+
+ORACLE["unsupported_numbers"] = _with(SALES, NARRATIONS) + f"""
+SELECT id, {_unsupported('answer1', 'context')} AS unsupported FROM nar"""
+
+STRIP2 = ("regexp_replace(CASE WHEN contains(answer2, '</think>') THEN regexp_replace(answer2, '(?s)^.*?</think>', '') "
+          "ELSE answer2 END, '^\\s+|\\s+$', '', 'g')")
+STRIP1 = ("regexp_replace(CASE WHEN contains(answer1, '</think>') THEN regexp_replace(answer1, '(?s)^.*?</think>', '') "
+          "ELSE answer1 END, '^\\s+|\\s+$', '', 'g')")
+
+RESOLVED = f"""
+r0 AS (SELECT id, context, answer2, {STRIP1} AS a1, {STRIP2} AS a2 FROM nar),
+r1 AS (SELECT *, {_unsupported('a1', 'context')} AS bad1, {_unsupported('a2', 'context')} AS bad2 FROM r0),
+r AS (
+  SELECT id,
+         CASE WHEN len(bad1) = 0 THEN 'verified' WHEN answer2 IS NULL THEN 'needs_retry'
+              WHEN len(bad2) = 0 THEN 'verified_after_retry' ELSE 'flagged' END AS state,
+         (len(bad1) = 0 OR (answer2 IS NOT NULL AND len(bad2) = 0)) AS verified,
+         (len(bad1) > 0 AND answer2 IS NOT NULL) AS retried,
+         CASE WHEN len(bad1) = 0 THEN []::VARCHAR[] WHEN answer2 IS NULL THEN bad1
+              WHEN len(bad2) = 0 THEN []::VARCHAR[] ELSE bad2 END AS unsupported,
+         a2 || chr(10) || chr(10) || '⚠️ Unverified: this answer states a number not found in the computed figures ('
+           || array_to_string(list_sort(list_distinct(bad2)), ', ') || ') — treat it with caution.' AS flagged_text
+  FROM r1)"""
+
+ORACLE["resolve_attempts"] = _with(SALES, NARRATIONS, RESOLVED) + \
+    "SELECT id, state, verified, retried, unsupported FROM r"
+
+ORACLE["flag_text"] = _with(SALES, NARRATIONS, RESOLVED) + \
+    "SELECT id, flagged_text AS text FROM r WHERE state = 'flagged'"

@@ -71,3 +71,13 @@ def write_and_reload(df: DataFrame, name: str, partition_by: list[str] | None =
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.parquet(path)
+
+
+def materialize_small(df: DataFrame, bound_rows: int | None, name: str = "small") -> DataFrame:
+    """Freeze a small metadata table (mapping, per-file decisions) so later plans
+    do not recompute it.  With a proven row bound it becomes a local relation
+    (collected once; size known); otherwise it is written to the shared folder."""
+    if bound_rows is not None and bound_rows <= BROADCAST_MAX_ROWS:
+        rows = df.collect()
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    return write_and_reload(df, name)

@@ -85,6 +85,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_name").alias("vendor"),
         F.col("o_orderpriority").alias("channel"),
         F.col("o_orderstatus").alias("payment_method"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line_id"),
     )
 
 
@@ -128,3 +129,33 @@ def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = (base.withColumn("_row", F.col("_k") * 2)
                .unionByName(copies.withColumn("_row", F.col("_k") * 2 + 1)))
     return out.select("_file", "_row", *[F.col(f"`{c}`") for c in RAW_COLUMNS])
+
+
+def narrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, context, answer1, answer2) per (vendor, product): a finding context
+    with real figures and two generated-looking answers, some of whose
+    figures are altered by a rule on the key (the answers a model might give).
+    ``answer2`` is missing for some rows (no retry generated yet)."""
+    from bookspark.operators.common import money_sum
+    s = sales(spark, sf_dir)
+    g = s.groupBy("vendor", "product").agg(
+        money_sum("total").alias("revenue"), F.count(F.lit(1)).alias("orders"),
+        F.sum("qty").alias("units"))
+    rev = F.floor("revenue").cast("bigint")
+    key = F.col("orders")
+    context = F.concat(
+        F.lit("Sales of "), F.col("product"), F.lit(" via "), F.col("vendor"),
+        F.lit("\nrevenue: NGN "), F.format_number(rev, 0),
+        F.lit("\norders: "), F.format_number(F.col("orders"), 0),
+        F.lit("\nunits: "), F.format_string("%.1f", F.col("units")))
+    rev1 = F.when(key % 3 == 0, rev + 1000).otherwise(rev)
+    answer1 = F.concat(
+        F.lit("You earned NGN "), F.format_number(rev1, 0), F.lit(" from "), F.col("product"),
+        F.lit(" across "), F.col("orders").cast("string"), F.lit(" orders."))
+    units2 = F.when(key % 5 == 0, F.col("units") + 7).otherwise(F.col("units"))
+    answer2 = F.when(key % 7 == 0, F.lit(None).cast("string")).otherwise(F.concat(
+        F.lit("<think>checking</think> Your "), F.col("product"), F.lit(" sales reached NGN "),
+        F.format_number(rev, 0), F.lit(" over "), F.col("orders").cast("string"),
+        F.lit(" orders, "), F.format_string("%.1f", units2), F.lit(" units in 3 years.")))
+    return g.select(F.concat_ws(" | ", "vendor", "product").alias("id"), context.alias("context"),
+                    answer1.alias("answer1"), answer2.alias("answer2"))
