@@ -34,6 +34,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("BOOKSPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
+        .config("spark.sql.files.openCostInBytes", str(512 * 1024))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("FATAL")
@@ -78,6 +79,28 @@ def materialize_small(df: DataFrame, bound_rows: int | None, name: str = "small"
     do not recompute it.  With a proven row bound it becomes a local relation
     (collected once; size known); otherwise it is written to the shared folder."""
     if bound_rows is not None and bound_rows <= BROADCAST_MAX_ROWS:
-        rows = df.collect()
-        return df.sparkSession.createDataFrame(rows, df.schema)
+        return local_df(df.sparkSession, df.collect(), df.schema)
     return write_and_reload(df, name)
+
+
+def ensure_parallel(df: DataFrame) -> DataFrame:
+    """Spread a DataFrame over the cores when its scan yields fewer partitions
+    than the cluster's parallelism (a single-row-group file, a few small
+    files).  Large inputs already have many splits, so this is then a no-op
+    and adds no shuffle."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
+def local_df(spark: SparkSession, rows, schema) -> DataFrame:
+    """A small table built in the driver (metadata, constants) through Arrow,
+    so no Python worker is started to serve it."""
+    import pandas as pd
+    from pyspark.sql.types import StructType
+    st = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
+    pdf = pd.DataFrame([tuple(r) for r in rows], columns=st.fieldNames())
+    if pdf.empty:
+        return spark.createDataFrame([], st)
+    return spark.createDataFrame(pdf, schema=st)

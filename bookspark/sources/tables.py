@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookspark.session import ensure_parallel
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -59,9 +61,9 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     No join hints: part/supplier/orders grow with the scale factor, so the
     planner (and AQE at runtime) picks broadcast only from measured sizes."""
-    li = load(spark, sf_dir, "lineitem").select(
+    li = ensure_parallel(load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_shipdate")
+        "l_extendedprice", "l_shipdate"))
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     p = load(spark, sf_dir, "part").select("p_partkey", "p_name")
     s = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
