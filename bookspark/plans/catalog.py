@@ -330,3 +330,84 @@ def q_flag_text(spark, sf):
     from bookspark.operators import verify as V
     r = V.resolve_attempts(T.narrations(spark, sf))
     return r.filter(F.col("state") == "flagged").select("id", "text")
+
+
+# ------------------------------------------------------------ sources/sheets
+
+@register("row_profile")
+def q_row_profile(spark, sf):
+    from bookspark.sources import sheets as S
+    return S.row_profile(T.cells(spark, sf))
+
+
+@register("header_scores")
+def q_header_scores(spark, sf):
+    from bookspark.sources import sheets as S
+    return S.header_scores(T.cells(spark, sf))
+
+
+@register("sheet_listing")
+def q_sheet_listing(spark, sf):
+    from bookspark.sources import sheets as S
+    return S.sheets(T.cells(spark, sf))
+
+
+# ------------------------------------------------------------------ mapping
+
+@register("column_profile")
+def q_column_profile(spark, sf):
+    from bookspark.operators import mapping as M
+    return M.column_profile(T.sales_raw(spark, sf)).drop("samples")
+
+
+@register("column_samples")
+def q_column_samples(spark, sf):
+    from bookspark.operators import mapping as M
+    return M.column_profile(T.sales_raw(spark, sf)).select("_file", "column", "samples")
+
+
+@register("column_mapping")
+def q_column_mapping(spark, sf):
+    from bookspark.operators import mapping as M
+    return M.infer_mapping(T.sales_raw(spark, sf))
+
+
+@register("apply_mapping")
+def q_apply_mapping(spark, sf):
+    from bookspark.operators import mapping as M
+    raw = T.sales_raw(spark, sf)
+    return M.apply_mapping(raw, M.selected_mapping(M.infer_mapping(raw)), n_files=25)
+
+
+# ------------------------------------------------------------------ routing
+
+@register("dimension_hint")
+def q_dimension_hint(spark, sf):
+    """Q2 over every user turn of ``conversations`` (whole texts)."""
+    from bookspark.operators import routing as Q
+    c = T.load(spark, sf, "conversations").filter(F.col("role") == "user")
+    return c.select("conv_id", "turn", Q.dimension_hint(F.col("text")).alias("hint"))
+
+
+@register("parse_label")
+def q_parse_label(spark, sf):
+    """Q3 over every assistant turn of ``conversations`` (model outputs)."""
+    from bookspark.operators import routing as Q
+    c = T.load(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", Q.parse_label(F.col("text")).alias("label"))
+
+
+# -------------------------------------------------------------------- sinks
+
+@register("report_rows")
+def q_report_rows(spark, sf):
+    from bookspark.sinks import reports as K
+    t = A.top_products(T.sales(spark, sf), 5).select("product", "revenue", "units", "orders")
+    return K.finding_rows(t, "top products", "Top 5 products by revenue")
+
+
+@register("cleaning_rows")
+def q_cleaning_rows(spark, sf):
+    from bookspark.sinks import reports as K
+    r = _clean(spark, sf)
+    return K.cleaning_rows(r.report, r.mismatches)

@@ -535,3 +535,29 @@ ORACLE["resolve_attempts"] = _with(SALES, NARRATIONS, RESOLVED) + \
 
 ORACLE["flag_text"] = _with(SALES, NARRATIONS, RESOLVED) + \
     "SELECT id, flagged_text AS text FROM r WHERE state = 'flagged'"
+
+
+# ------------------------------------------------------------------ routing
+
+def _hint_sql(col: str) -> str:
+    from bookspark.operators.routing import HINT_WORDS
+    parts = []
+    for label, words in HINT_WORDS:
+        cond = " OR ".join(f"contains(lower({col}), '{w}')" for w in words)
+        parts.append(f"WHEN {cond} THEN '{label}'")
+    return "CASE " + " ".join(parts) + " END"
+
+
+ORACLE["dimension_hint"] = f"""
+SELECT conv_id, turn, {_hint_sql('text')} AS hint FROM conversations WHERE role = 'user'"""
+
+ORACLE["parse_label"] = """
+WITH t AS (
+  SELECT conv_id, turn,
+         lower(regexp_replace(CASE WHEN contains(text, '</think>') THEN regexp_replace(text, '(?s)^.*?</think>', '')
+                                   ELSE text END, '^\\s+|\\s+$', '', 'g')) AS x
+  FROM conversations WHERE role = 'assistant'),
+f AS (SELECT conv_id, turn, regexp_replace(regexp_extract(x, '^(\\S+)', 1), '^[:.,]+|[:.,]+$', '', 'g') AS w FROM t)
+SELECT conv_id, turn, CASE WHEN w IN ('ranking_by_product', 'worst_by_product', 'monthly_trend', 'ranking_by_vendor',
+       'ranking_by_channel', 'ranking_by_payment', 'quiet_days', 'revenue_summary') THEN w END AS label
+FROM f"""

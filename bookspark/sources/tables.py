@@ -161,3 +161,23 @@ def narrations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" orders, "), F.format_string("%.1f", units2), F.lit(" units in 3 years.")))
     return g.select(F.concat_ws(" | ", "vendor", "product").alias("id"), context.alias("context"),
                     answer1.alias("answer1"), answer2.alias("answer2"))
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sales_raw`` as a spreadsheet cell table (_file, sheet, row, col, type,
+    value): a title row and a blank-ish note row above the header row, data
+    rows after it (row numbers ordered, not dense)."""
+    raw = sales_raw(spark, sf_dir)
+    packed = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("col"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(RAW_COLUMNS)]))
+    data = raw.select("_file", (F.col("_row") + 10).cast("int").alias("row"), packed.alias("c")) \
+              .select("_file", "row", "c.col", "c.value").filter(F.col("value").isNotNull())
+    data = data.withColumn("type", F.when(F.col("value").try_cast("double").isNotNull(), "number")
+                                    .otherwise("text"))
+    files = raw.select("_file").distinct()
+    top = [(0, 0, "text", "Sales export"), (1, 0, "text", "Generated by the till"), (1, 1, "number", "2026")]
+    top += [(2, i, "text", c) for i, c in enumerate(RAW_COLUMNS)]
+    head = files.crossJoin(F.broadcast(spark.createDataFrame(
+        top, "row int, col int, type string, value string")))
+    out = head.unionByName(data.select("_file", "row", "col", "type", "value"))
+    return out.withColumn("sheet", F.lit("Sales")).select("_file", "sheet", "row", "col", "type", "value")
