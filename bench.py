@@ -59,7 +59,7 @@ def main() -> None:
     timed("top_products_by_shop", lambda: run(A.top_products(clean, 5, scope=["_file"])))
     q = spark.createDataFrame(SEARCH_QUERIES, "query_id int, text string")
     timed("bm25_search", lambda: run(R.search(loaded.index, q, top_k=20)))
-    timed("verify_narrations", lambda: run(V.resolve_attempts(T.narrations(spark, sf_dir))
+    timed("verify_narrations", lambda: run(V.resolve_attempts(T.narrations_from(clean))
                                            .groupBy("state").count()))
     total = round(sum(timings.values()), 3)
     print(json.dumps({

@@ -134,12 +134,16 @@ def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def narrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Narrations over the canonical ``sales`` table (see narrations_from)."""
+    return narrations_from(sales(spark, sf_dir))
+
+
+def narrations_from(s: DataFrame) -> DataFrame:
     """(id, context, answer1, answer2) per (vendor, product): a finding context
     with real figures and two generated-looking answers, some of whose
     figures are altered by a rule on the key (the answers a model might give).
     ``answer2`` is missing for some rows (no retry generated yet)."""
     from bookspark.operators.common import money_sum
-    s = sales(spark, sf_dir)
     g = s.groupBy("vendor", "product").agg(
         money_sum("total").alias("revenue"), F.count(F.lit(1)).alias("orders"),
         F.sum("qty").alias("units"))
