@@ -411,3 +411,21 @@ def q_cleaning_rows(spark, sf):
     from bookspark.sinks import reports as K
     r = _clean(spark, sf)
     return K.cleaning_rows(r.report, r.mismatches)
+
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    """S1-S4, S12 on real files: the messy export is written as CSV folders
+    per shop with different delimiters, then profiled (encoding, delimiter,
+    container) and read back; rows per shop and delimiter."""
+    from bookspark.session import scratch_path
+    from bookspark.sources import files as FS
+    folder = scratch_path(spark, "exports")
+    FS.write_exports(T.sales_raw(spark, sf), folder)
+    prof = FS.file_profile(spark, f"{folder}/*/*.csv")
+    back = FS.read_csv_files(spark, prof)
+    shop = F.regexp_extract("_file", r"shop=([^/]+)/", 1)
+    per_file = back.groupBy("_file").agg(F.count(F.lit(1)).alias("rows"))
+    j = per_file.join(prof.select(F.col("path").alias("_file"), "delimiter", "encoding", "container"), "_file")
+    return j.groupBy(shop.alias("shop"), "delimiter", "encoding", "container").agg(
+        F.sum("rows").cast("bigint").alias("rows"))

@@ -561,3 +561,9 @@ f AS (SELECT conv_id, turn, regexp_replace(regexp_extract(x, '^(\\S+)', 1), '^[:
 SELECT conv_id, turn, CASE WHEN w IN ('ranking_by_product', 'worst_by_product', 'monthly_trend', 'ranking_by_vendor',
        'ranking_by_channel', 'ranking_by_payment', 'quiet_days', 'revenue_summary') THEN w END AS label
 FROM f"""
+
+ORACLE["csv_roundtrip"] = _with(RAW) + """
+SELECT _file AS shop,
+       CASE CAST(regexp_extract(_file, '(\\d+)$', 1) AS INTEGER) % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS delimiter,
+       'utf-8-sig' AS encoding, 'csv' AS container, COUNT(*) AS "rows"
+FROM raw GROUP BY _file"""
