@@ -567,3 +567,115 @@ SELECT _file AS shop,
        CASE CAST(regexp_extract(_file, '(\\d+)$', 1) AS INTEGER) % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS delimiter,
        'utf-8-sig' AS encoding, 'csv' AS container, COUNT(*) AS "rows"
 FROM raw GROUP BY _file"""
+
+
+# ------------------------------------------------------- mapping, sheets, sinks
+
+ORACLE["apply_mapping"] = _with(RAW) + """
+SELECT _file, _row, "order id" AS order_id, "Date" AS date, "Product " AS product, "Qty" AS qty,
+       "Unit Price (NGN)" AS unit_price, "Total" AS total, "Vendor" AS vendor, channel,
+       "Payment Method" AS payment_method
+FROM raw"""
+
+ORACLE["report_rows"] = _with(SALES, PRODUCTS) + """
+, top AS (SELECT product, revenue FROM prod ORDER BY revenue DESC, product ASC LIMIT 5)
+SELECT 0 AS ord, 'question' AS section, 'Question' AS label, 'top products' AS value
+UNION ALL SELECT 1, 'headline', 'Headline', 'Top 5 products by revenue'
+UNION ALL SELECT 2, 'table', product, CAST(revenue AS VARCHAR) FROM top"""
+
+CELLS = """
+cols AS (SELECT * FROM (VALUES (0, 'Date'), (1, 'order id'), (2, 'Product '), (3, 'Qty'), (4, 'Unit Price (NGN)'),
+                               (5, 'Total'), (6, 'Vendor'), (7, 'channel'), (8, 'Payment Method')) t(col, name)),
+files AS (SELECT DISTINCT _file FROM raw),
+data AS (
+  SELECT _file, CAST(_row + 10 AS INTEGER) AS row, col, value FROM (
+    SELECT _file, _row, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS col,
+           unnest(["Date", "order id", "Product ", "Qty", "Unit Price (NGN)", "Total", "Vendor", channel, "Payment Method"]) AS value
+    FROM raw) WHERE value IS NOT NULL),
+cells AS (
+  SELECT _file, 'Sales' AS sheet, row, col,
+         CASE WHEN TRY_CAST(value AS DOUBLE) IS NOT NULL THEN 'number' ELSE 'text' END AS type, value FROM data
+  UNION ALL SELECT _file, 'Sales', 0, 0, 'text', 'Sales export' FROM files
+  UNION ALL SELECT _file, 'Sales', 1, 0, 'text', 'Generated by the till' FROM files
+  UNION ALL SELECT _file, 'Sales', 1, 1, 'number', '2026' FROM files
+  UNION ALL SELECT f._file, 'Sales', 2, c.col, 'text', c.name FROM files f CROSS JOIN cols c
+)"""
+
+ORACLE["sheet_listing"] = _with(RAW, CELLS) + """
+, dims AS (SELECT _file, sheet, MAX(row) + 1 AS rows, MAX(col) + 1 AS cols FROM cells GROUP BY ALL)
+, pv AS (SELECT _file, sheet, list(regexp_replace(value, '^\\s+|\\s+$', '', 'g') ORDER BY col)[1:6] AS preview
+         FROM cells WHERE row = 0 AND regexp_replace(value, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY ALL)
+SELECT dims._file, dims.sheet, rows, cols, preview FROM dims LEFT JOIN pv USING (_file, sheet)"""
+
+ROW_PROFILE = """
+rs AS (SELECT DISTINCT _file, sheet, row FROM cells),
+sc AS (SELECT _file, sheet, row FROM (
+         SELECT *, ROW_NUMBER() OVER (PARTITION BY _file, sheet ORDER BY row) AS i FROM rs) WHERE i <= 15),
+wd AS (SELECT _file, sheet, MAX(col) + 1 AS width FROM cells GROUP BY ALL),
+nb AS (SELECT c.* FROM cells c JOIN sc USING (_file, sheet, row)
+       WHERE regexp_replace(c.value, '^\\s+|\\s+$', '', 'g') <> ''),
+p AS (SELECT _file, sheet, row, COUNT(*) AS non_empty, COUNT(*) FILTER (WHERE type = 'text') AS t,
+             COUNT(DISTINCT lower(regexp_replace(value, '^\\s+|\\s+$', '', 'g'))) AS d, AVG(length(value)) AS avg_len
+      FROM nb GROUP BY ALL),
+rp AS (
+  SELECT sc._file, sc.sheet, sc.row, COALESCE(p.non_empty, 0) AS non_empty,
+         COALESCE(p.non_empty, 0) / GREATEST(wd.width, 1) AS fill_ratio,
+         CASE WHEN COALESCE(p.non_empty, 0) > 0 THEN p.t / p.non_empty ELSE 0.0 END AS text_ratio,
+         CASE WHEN COALESCE(p.non_empty, 0) > 0 THEN p.d / p.non_empty ELSE 0.0 END AS distinct_ratio,
+         COALESCE(p.avg_len, 0.0) AS avg_len
+  FROM sc LEFT JOIN p USING (_file, sheet, row) JOIN wd USING (_file, sheet))"""
+
+ORACLE["row_profile"] = _with(RAW, CELLS, ROW_PROFILE) + "SELECT * FROM rp"
+
+ORACLE["header_scores"] = _with(RAW, CELLS, ROW_PROFILE) + """
+, f AS (SELECT *, COALESCE(AVG(text_ratio) OVER (PARTITION BY _file, sheet ORDER BY row
+                                                  ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), text_ratio) AS follow FROM rp)
+, s AS (SELECT _file, sheet, row,
+               CASE WHEN non_empty < 2 THEN -1.0
+                    ELSE fill_ratio * 1.0 + text_ratio * 1.5 + distinct_ratio * 0.5 - follow * 0.8
+                         - CASE WHEN avg_len > 40 THEN 0.3 ELSE 0.0 END END AS score FROM f)
+, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY _file, sheet ORDER BY score DESC, row ASC) AS rank,
+               COALESCE(LEAD(score) OVER (PARTITION BY _file, sheet ORDER BY score DESC, row ASC), -999.0) AS second
+        FROM s)
+SELECT _file, sheet, row, round(score, 3) AS score, rank,
+       (rank = 1 AND score - second >= 0.3 AND score >= 1.2) AS confident
+FROM r"""
+
+PROFILE_CELLS = """
+names AS (SELECT * FROM (VALUES (0, 'Date', 'date'), (1, 'order id', 'order_id'), (2, 'Product ', 'product'),
+                                (3, 'Qty', 'qty'), (4, 'Unit Price (NGN)', 'unit_price'), (5, 'Total', 'total'),
+                                (6, 'Vendor', 'vendor'), (7, 'channel', 'channel'),
+                                (8, 'Payment Method', 'payment_method')) t(position, "column", normalized)),
+long AS (
+  SELECT _file, _row, position, value FROM (
+    SELECT _file, _row, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS position,
+           unnest(["Date", "order id", "Product ", "Qty", "Unit Price (NGN)", "Total", "Vendor", channel, "Payment Method"]) AS value
+    FROM raw)
+  WHERE value IS NOT NULL AND regexp_replace(value, '^\\s+|\\s+$', '', 'g') <> ''),
+ranked AS (SELECT *, regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS text,
+                  ROW_NUMBER() OVER (PARTITION BY _file, position ORDER BY _row, value) AS rn FROM long),
+grid AS (SELECT f._file, n.* FROM (SELECT DISTINCT _file FROM raw) f CROSS JOIN names n)"""
+
+DATE_FORMATS_SQL = ("['%Y-%m-%d', '%d-%b-%Y', '%d/%m/%Y', '%m/%d/%Y', '%Y/%m/%d', '%d-%m-%Y', "
+                    "'%d.%m.%Y', '%d %b %Y', '%d %B %Y']")
+
+ORACLE["column_profile"] = _with(RAW, PROFILE_CELLS) + f"""
+, kd AS (
+  SELECT _file, position, COUNT(*) AS n,
+         COUNT(*) FILTER (WHERE TRY_CAST(regexp_replace(value, '[^0-9.\\-]', '', 'g') AS DOUBLE) IS NOT NULL) AS num,
+         COUNT(*) FILTER (WHERE regexp_matches(text, '\\d') AND regexp_matches(text, '[/-]|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec', 'i')
+                          AND try_strptime(text, {DATE_FORMATS_SQL}) IS NOT NULL) AS dt
+  FROM ranked WHERE rn <= 6 GROUP BY ALL)
+SELECT g._file, g."column", g.position, g.normalized,
+       CASE WHEN COALESCE(k.n, 0) = 0 THEN 'empty'
+            WHEN k.dt / k.n >= 0.5 THEN 'date' WHEN k.num / k.n >= 0.5 THEN 'numeric' ELSE 'text' END AS kind,
+       CASE WHEN COALESCE(k.n, 0) > 0 THEN k.num / k.n ELSE 0.0 END AS numeric_ratio,
+       CASE WHEN COALESCE(k.n, 0) > 0 THEN k.dt / k.n ELSE 0.0 END AS date_ratio
+FROM grid g LEFT JOIN kd k USING (_file, position)"""
+
+ORACLE["column_samples"] = _with(RAW, PROFILE_CELLS) + """
+, firsts AS (SELECT _file, position, text, MIN(rn) AS first FROM ranked GROUP BY ALL)
+, top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY _file, position ORDER BY first) AS k FROM firsts) WHERE k <= 3)
+, s AS (SELECT _file, position, list(text ORDER BY k) AS samples FROM top GROUP BY ALL)
+SELECT g._file, g."column", COALESCE(s.samples, []::VARCHAR[]) AS samples
+FROM grid g LEFT JOIN s USING (_file, position)"""
