@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookspark.operators.common import money_sum, safe_ratio, top_n_per_group
+from bookspark.operators.common import money_sum, reuse, safe_ratio, top_n_per_group
 
 WEEKEND = ["Saturday", "Sunday"]
 
@@ -62,7 +62,7 @@ def half_period_change(df: DataFrame, scope: Sequence[str] | None = None) -> Dat
     ``date <= min + (max-min)/2``  <=>  ``2*date <= min + max`` in days, exact.
     Reported only for more than 20 orders and a non-zero first half."""
     s = _scope(scope)
-    d = daily(df, s)
+    d = reuse(daily(df, s))
     bounds = d.groupBy(*s).agg(F.min("date").alias("_min"), F.max("date").alias("_max"),
                                F.sum("orders").alias("_orders"))
     j = _join_scope(d, bounds, s)
@@ -91,9 +91,9 @@ def product_totals(df: DataFrame, scope: Sequence[str] | None = None) -> DataFra
 
 
 def _ranked_products(df: DataFrame, n: int, ascending: bool,
-                     scope: Sequence[str] | None) -> DataFrame:
+                     scope: Sequence[str] | None, totals: DataFrame | None = None) -> DataFrame:
     s = _scope(scope)
-    p = product_totals(df, s)
+    p = totals if totals is not None else product_totals(df, s)
     rev = F.col("revenue").asc() if ascending else F.col("revenue").desc()
     order = [rev, F.col("product").asc()]
     if not s:
@@ -129,8 +129,8 @@ def volume_vs_value(df: DataFrame, scope: Sequence[str] | None = None) -> DataFr
 def _n_share(df: DataFrame, n: int, ascending: bool, scope: Sequence[str] | None,
              name: str) -> DataFrame:
     s = _scope(scope)
-    p = product_totals(df, s)
-    ranked = _ranked_products(df, n, ascending, s)
+    p = reuse(product_totals(df, s))
+    ranked = _ranked_products(df, n, ascending, s, totals=p)
     part = ranked.groupBy(*s).agg(F.sum("revenue").cast("decimal(38,2)").alias(f"{name}_revenue"))
     whole = p.groupBy(*s).agg(F.sum("revenue").cast("decimal(38,2)").alias("total_revenue"),
                               F.count(F.lit(1)).alias("products"))
@@ -152,8 +152,8 @@ def tail_share(df: DataFrame, n: int = 5, scope: Sequence[str] | None = None) ->
 def volume_warning(df: DataFrame, n: int = 5, scope: Sequence[str] | None = None) -> DataFrame:
     """Bottom-n revenue products that are also top-5 by units."""
     s = _scope(scope)
-    bottom = bottom_products(df, n, s)
-    p = product_totals(df, s)
+    p = reuse(product_totals(df, s))
+    bottom = _ranked_products(df, n, True, s, totals=p)
     order = [F.col("units").desc(), F.col("product").asc()]
     if s:
         by_units = top_n_per_group(p, s, order, 5)
@@ -169,8 +169,8 @@ def monthly_trend(df: DataFrame, scope: Sequence[str] | None = None) -> DataFram
     labelled ``MMM yyyy``, in calendar order (per scope: from its own first to
     its own last month)."""
     s = _scope(scope)
-    m = (df.groupBy(*s, F.trunc("date", "month").alias("month"))
-           .agg(money_sum("total").alias("revenue"), F.count(F.lit(1)).alias("orders")))
+    m = reuse(df.groupBy(*s, F.trunc("date", "month").alias("month"))
+                .agg(money_sum("total").alias("revenue"), F.count(F.lit(1)).alias("orders")))
     span = m.groupBy(*s).agg(F.min("month").alias("_a"), F.max("month").alias("_b"))
     cal = span.select(*s, F.explode(F.sequence("_a", "_b", F.expr("INTERVAL 1 MONTH"))).alias("month"))
     out = cal.join(m, [*s, "month"], "left")
@@ -232,8 +232,8 @@ def basket_drift(trend: DataFrame, scope: Sequence[str] | None = None) -> DataFr
 def by_dimension(df: DataFrame, column: str, scope: Sequence[str] | None = None) -> DataFrame:
     """Revenue, orders and share of revenue per value, ranked."""
     s = _scope(scope)
-    g = df.groupBy(*s, F.col(column).alias("value")).agg(
-        money_sum("total").alias("revenue"), F.count(F.lit(1)).alias("orders"))
+    g = reuse(df.groupBy(*s, F.col(column).alias("value")).agg(
+        money_sum("total").alias("revenue"), F.count(F.lit(1)).alias("orders")))
     tot = g.groupBy(*s).agg(F.sum("revenue").alias("_total"))
     out = _join_scope(g, tot, s)
     return out.select(*s, "value", "revenue", "orders",

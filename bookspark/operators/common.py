@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookspark.session import BROADCAST_MAX_ROWS
+from bookspark.session import BROADCAST_MAX_ROWS, ensure_checkpoint_dir
 
 MONEY = "decimal(38,2)"
 
@@ -55,11 +55,10 @@ def top_n_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Co
     return out.drop("_salt")
 
 
-def rank_in_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
-                  name: str = "rank") -> DataFrame:
-    """Rank rows of an already grouped (small per group) table."""
-    if group_cols:
-        w = Window.partitionBy(*group_cols).orderBy(*order)
-    else:
-        w = Window.orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w))
+def reuse(grouped: DataFrame) -> DataFrame:
+    """A grouped table used by two branches (rows and their total, top-n and
+    the whole): computed once and kept as a reliable checkpoint in the shared
+    folder (``spark.checkpoint.dir``), so the fact table is not scanned and
+    joined twice.  Survives executor loss; never a local checkpoint."""
+    ensure_checkpoint_dir(grouped.sparkSession)
+    return grouped.checkpoint(eager=True)
