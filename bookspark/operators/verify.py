@@ -89,3 +89,23 @@ def resolve_attempts(df: DataFrame, answer1: str = "answer1", answer2: str = "an
         (ok1 | (has2 & ok2)).alias("verified"),
         unsupported.alias("unsupported"),
         (~ok1 & has2).alias("retried"))
+
+
+def model_comparison(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """V8 / K5 over ``(model, question, run, text, verified, unsupported,
+    retried, seconds)``: per model - answers, mean length, mean seconds,
+    unsupported numbers in total, retried, fixed by the retry, still
+    unverified; and the answers side by side per (question, run), one column
+    per model (the model list is metadata, collected bounded)."""
+    per_model = results.groupBy("model").agg(
+        F.count(F.lit(1)).alias("answers"),
+        F.avg(F.length("text")).alias("mean_length"),
+        F.avg("seconds").alias("mean_seconds"),
+        F.sum(F.size(F.coalesce("unsupported", F.array().cast("array<string>")))).cast("bigint")
+         .alias("unsupported_total"),
+        F.count_if(F.col("retried")).alias("retried"),
+        F.count_if(F.col("retried") & F.col("verified")).alias("fixed_by_retry"),
+        F.count_if(~F.col("verified")).alias("unverified"))
+    models = [r[0] for r in results.select("model").distinct().orderBy("model").limit(1000).collect()]
+    side = results.groupBy("question", "run").pivot("model", models).agg(F.first("text"))
+    return per_model, side

@@ -429,3 +429,32 @@ def q_csv_roundtrip(spark, sf):
     j = per_file.join(prof.select(F.col("path").alias("_file"), "delimiter", "encoding", "container"), "_file")
     return j.groupBy(shop.alias("shop"), "delimiter", "encoding", "container").agg(
         F.sum("rows").cast("bigint").alias("rows"))
+
+
+# ----------------------------------------------------------------- findings
+
+@register("finding_facts")
+def q_finding_facts(spark, sf):
+    """Every analysis's fact sentences over ``sales``."""
+    from bookspark.operators import findings as FD
+    s = T.sales(spark, sf)
+    parts = [FD.revenue_facts(s), FD.top_product_facts(s), FD.bottom_product_facts(s),
+             FD.monthly_facts(s), FD.dimension_facts(s, "vendor"), FD.dimension_facts(s, "channel"),
+             FD.dimension_facts(s, "payment_method"), FD.weekday_facts(s)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("finding_context")
+def q_finding_context(spark, sf):
+    """The context text of the top-products finding (headline, facts,
+    first 10 table rows, guidance) - the grounding handed to a narrator."""
+    from bookspark.operators import findings as FD
+    s = T.sales(spark, sf)
+    t = A.top_products(s, 5).select(
+        F.col("rank").alias("_ord"), "product", F.format_number(F.col("revenue").cast("double"), 0).alias("revenue"),
+        "units", "orders")
+    return FD.context_text("Top 5 products by revenue", FD.top_product_facts(s), t,
+                           [F.col("_ord").asc()], A.guidance_for("top_products"))

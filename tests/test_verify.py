@@ -42,3 +42,15 @@ def test_resolve_attempts(spark):
 def test_strip_reasoning(spark):
     df = spark.createDataFrame([("<think>a\nb</think>  hi ",), ("plain ",)], "t string")
     assert [r[0] for r in df.select(V.strip_reasoning(F.col("t"))).collect()] == ["hi", "plain"]
+
+
+def test_model_comparison(spark):
+    rows = [("m1", "q1", 1, "abc", True, [], False, 2.0), ("m1", "q2", 1, "abcd", False, ["10"], True, 4.0),
+            ("m2", "q1", 1, "x", True, [], True, 1.0), ("m2", "q2", 1, "xy", True, [], False, 3.0)]
+    df = spark.createDataFrame(rows, "model string, question string, run int, text string, verified boolean, "
+                                     "unsupported array<string>, retried boolean, seconds double")
+    per, side = V.model_comparison(df)
+    m = {r["model"]: r for r in per.collect()}
+    assert m["m1"]["unsupported_total"] == 1 and m["m1"]["unverified"] == 1 and m["m1"]["mean_length"] == 3.5
+    assert m["m2"]["fixed_by_retry"] == 1 and m["m2"]["retried"] == 1
+    assert sorted(side.columns) == ["m1", "m2", "question", "run"] and side.count() == 2
