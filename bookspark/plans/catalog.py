@@ -458,3 +458,14 @@ def q_finding_context(spark, sf):
         "units", "orders")
     return FD.context_text("Top 5 products by revenue", FD.top_product_facts(s), t,
                            [F.col("_ord").asc()], A.guidance_for("top_products"))
+
+
+@register("finding_json")
+def q_finding_json(spark, sf):
+    """K1: the revenue-by-vendor finding as JSON lines (header + one per record)."""
+    from bookspark.operators import findings as FD
+    from bookspark.sinks import reports as K
+    s = T.sales(spark, sf)
+    table = A.by_dimension(s, "vendor").orderBy(F.col("revenue").desc(), F.col("value"))
+    return K.finding_json(table, "which vendor sells most?", "ranking_by_vendor", "Revenue by vendor",
+                          FD.dimension_facts(s, "vendor"))

@@ -10,18 +10,21 @@ from bookspark.operators.cleaning import MISMATCH_SAMPLE
 
 def finding_json(table: DataFrame, question: str, route: str, headline: str,
                  facts: DataFrame | None = None) -> DataFrame:
-    """K1: one JSON document (question, route, headline, facts, table records);
-    guidance is not included.  ``table`` is a finding table (small: a top-n,
-    a month list, a dimension breakdown)."""
-    rec = table.agg(F.collect_list(F.struct(*[F.col(c) for c in table.columns])).alias("table"))
+    """K1 as JSON lines: one header document (question, route, headline,
+    facts; guidance is not included) followed by one document per table
+    record, in table order (``ord``).  Records stay distributed: a breakdown
+    with millions of values is never gathered into one row or one task."""
     if facts is not None:
-        f = facts.agg(F.map_from_entries(F.collect_list(F.struct("key", "text"))).alias("facts"))
-        rec = rec.crossJoin(f)
+        f = facts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "text")))).alias("facts"))
     else:
-        rec = rec.withColumn("facts", F.create_map().cast("map<string,string>"))
-    doc = F.struct(F.lit(question).alias("question"), F.lit(route).alias("route"),
-                   F.lit(headline).alias("headline"), F.col("facts"), F.col("table"))
-    return rec.select(F.to_json(doc).alias("json"))
+        f = table.sparkSession.range(1).select(F.create_map().cast("map<string,string>").alias("facts"))
+    head = f.select(F.lit(0).cast("bigint").alias("ord"), F.to_json(F.struct(
+        F.lit(question).alias("question"), F.lit(route).alias("route"),
+        F.lit(headline).alias("headline"), F.col("facts"))).alias("json"))
+    recs = table.select((F.monotonically_increasing_id() + 1).alias("ord"),
+                        F.to_json(F.struct(F.struct(*[F.col(f"`{c}`") for c in table.columns]).alias("record")))
+                        .alias("json"))
+    return head.unionByName(recs)
 
 
 def load_report_json(report: DataFrame, mismatches: DataFrame, mapping: DataFrame | None = None) -> DataFrame:

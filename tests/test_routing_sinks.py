@@ -50,9 +50,12 @@ def test_categories_and_dispatch(spark, sf):
 
 
 def test_finding_json_excludes_guidance(spark, sf):
-    t = A.top_products(T.sales(spark, sf), 3).select("product", "revenue")
-    doc = json.loads(K.finding_json(t, "top?", "ranking_by_product", "Top 3 products").first()["json"])
-    assert doc["route"] == "ranking_by_product" and len(doc["table"]) == 3 and "guidance" not in doc
+    t = A.top_products(T.sales(spark, sf), 3).orderBy("rank").select("product", "revenue")
+    lines = [json.loads(r["json"]) for r in K.finding_json(t, "top?", "ranking_by_product", "Top 3 products")
+             .orderBy("ord").collect()]
+    head, recs = lines[0], lines[1:]
+    assert head["route"] == "ranking_by_product" and "guidance" not in head and len(recs) == 3
+    assert recs[0]["record"]["product"] == t.first()["product"]
 
 
 def test_cleaning_rows_and_load_report(spark, sf):
