@@ -115,3 +115,37 @@ def dispatch(sales: DataFrame, questions: DataFrame) -> dict[str, DataFrame]:
     or unknown go to retrieval (R5)."""
     labels = [r[0] for r in questions.select("label").distinct().collect() if r[0] in HANDLERS]
     return {lab: HANDLERS[lab](sales) for lab in labels}
+
+
+def answer_questions(sales: DataFrame, index, questions: DataFrame, top_k: int = 50,
+                     id_col: str = "_row") -> DataFrame:
+    """Entry 2 in batch: ``questions(question_id, text, label)``.  Questions
+    with one of the eight labels are routed to their analysis (run once per
+    label with :func:`dispatch`); the others are answered by retrieval - the
+    revenue summary of their ``top_k`` BM25 rows, or of all rows when
+    nothing matches (R5).  One row per question."""
+    from bookspark.operators import findings as FD
+    from bookspark.operators.retrieval import retrieval_summary
+    heads = {"ranking_by_product": FD.HEADLINES["top_products"].format(n=5),
+             "worst_by_product": FD.HEADLINES["bottom_products"].format(n=5),
+             "monthly_trend": FD.HEADLINES["monthly_trend"],
+             "ranking_by_vendor": FD.HEADLINES["by_dimension"].format(label="vendor"),
+             "ranking_by_channel": FD.HEADLINES["by_dimension"].format(label="channel"),
+             "ranking_by_payment": FD.HEADLINES["by_dimension"].format(label="payment method"),
+             "quiet_days": FD.HEADLINES["quiet_days"],
+             "revenue_summary": FD.HEADLINES["revenue_summary"]}
+    headline = F.lit(None).cast("string")
+    for lab, h in heads.items():
+        headline = F.when(F.col("label") == lab, F.lit(h)).otherwise(headline)
+    known = F.col("label").isin(LABELS)
+    routed = questions.filter(known).select(
+        "question_id", "label", F.lit("analysis").alias("route"), headline.alias("headline"),
+        F.lit(None).cast("bigint").alias("orders"), F.lit(None).cast("decimal(38,2)").alias("total_revenue"))
+    rest = questions.filter(~F.coalesce(known, F.lit(False)))
+    summary = retrieval_summary(sales, index, rest.select(F.col("question_id").alias("query_id"), "text"),
+                                top_k=top_k, id_col=id_col)
+    retrieved = summary.select(
+        F.col("query_id").alias("question_id"), F.lit(None).cast("string").alias("label"),
+        F.lit("retrieval").alias("route"), "headline", F.col("orders").cast("bigint").alias("orders"),
+        "total_revenue")
+    return routed.unionByName(retrieved)

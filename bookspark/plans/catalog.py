@@ -469,3 +469,21 @@ def q_finding_json(spark, sf):
     table = A.by_dimension(s, "vendor").orderBy(F.col("revenue").desc(), F.col("value"))
     return K.finding_json(table, "which vendor sells most?", "ranking_by_vendor", "Revenue by vendor",
                           FD.dimension_facts(s, "vendor"))
+
+
+@register("answer_questions")
+def q_answer_questions(spark, sf):
+    """Q1 + Q3 + R5 over ``conversations``: each user turn is a question, the
+    next assistant turn is read as a model's label; labelled questions go to
+    their analysis, the rest to BM25 retrieval over the sales rows."""
+    from bookspark.operators import retrieval as R
+    from bookspark.operators import routing as Q
+    c = T.load(spark, sf, "conversations")
+    user = c.filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    reply = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), Q.parse_label(F.col("text")).alias("label"))
+    questions = user.join(reply, ["conv_id", "turn"], "left").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text", "label")
+    s = T.sales(spark, sf)
+    idx = R.build_index(R.row_documents(s, id_col="line_id"))
+    return Q.answer_questions(s, idx, questions, top_k=50, id_col="line_id")

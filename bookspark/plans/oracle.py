@@ -420,7 +420,8 @@ def _values(rows) -> str:
     return ", ".join(f"({i}, '{t}')" for i, t in rows)
 
 
-def _bm25(docs_sql: str, queries, top_k: int) -> str:
+def _bm25(docs_sql: str, queries, top_k: int, q_sql: str | None = None) -> str:
+    q_cte = q_sql if q_sql is not None else f"SELECT * FROM (VALUES {_values(queries)}) t(query_id, text)"
     return f"""
 docs AS ({docs_sql}),
 lens AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS length FROM docs),
@@ -429,7 +430,7 @@ tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM toks GROUP BY ALL),
 st AS (SELECT COUNT(*) AS n, CAST(SUM(length) AS DOUBLE) / GREATEST(COUNT(*), 1) AS avg_len FROM lens),
 idf AS (SELECT term, COUNT(*) AS df, ln(1 + ((SELECT n FROM st) - COUNT(*) + 0.5) / (COUNT(*) + 0.5)) AS idf
         FROM tf GROUP BY term),
-q AS (SELECT * FROM (VALUES {_values(queries)}) t(query_id, text)),
+q AS ({q_cte}),
 qt AS (SELECT query_id, term, COUNT(*) AS qtf
        FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM q) GROUP BY ALL),
 sc AS (SELECT qt.query_id, tf.doc_id,
@@ -679,3 +680,44 @@ ORACLE["column_samples"] = _with(RAW, PROFILE_CELLS) + """
 , s AS (SELECT _file, position, list(text ORDER BY k) AS samples FROM top GROUP BY ALL)
 SELECT g._file, g."column", COALESCE(s.samples, []::VARCHAR[]) AS samples
 FROM grid g LEFT JOIN s USING (_file, position)"""
+
+
+LABEL_SQL = """CASE WHEN w IN ('ranking_by_product', 'worst_by_product', 'monthly_trend', 'ranking_by_vendor',
+       'ranking_by_channel', 'ranking_by_payment', 'quiet_days', 'revenue_summary') THEN w END"""
+
+QUESTIONS = f"""
+rp AS (
+  SELECT conv_id, turn - 1 AS turn,
+         regexp_replace(regexp_extract(lower(regexp_replace(CASE WHEN contains(text, '</think>')
+             THEN regexp_replace(text, '(?s)^.*?</think>', '') ELSE text END, '^\\s+|\\s+$', '', 'g')), '^(\\S+)', 1),
+           '^[:.,]+|[:.,]+$', '', 'g') AS w
+  FROM conversations WHERE role = 'assistant'),
+questions AS (
+  SELECT u.conv_id * 1000 + u.turn AS question_id, u.text, {LABEL_SQL} AS label
+  FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'user') u
+  LEFT JOIN rp ON rp.conv_id = u.conv_id AND rp.turn = u.turn)"""
+
+ORACLE["answer_questions"] = _with(SALES, QUESTIONS, _bm25(
+    SALES_DOCS, [], 50, q_sql="SELECT question_id AS query_id, text FROM questions WHERE label IS NULL")) + f"""
+, agg AS (SELECT h.query_id, {MONEY.replace('total', 's.total')} AS total_revenue, COUNT(*) AS orders
+          FROM hits h JOIN sales s ON s.line_id = h.doc_id GROUP BY h.query_id)
+, whole AS (SELECT {MONEY} AS all_revenue, COUNT(*) AS all_orders FROM sales)
+SELECT question_id, label, 'analysis' AS route,
+       CASE label WHEN 'ranking_by_product' THEN 'Top 5 products by revenue'
+                  WHEN 'worst_by_product' THEN '5 weakest-selling products by revenue (lowest earners)'
+                  WHEN 'monthly_trend' THEN 'Revenue by month'
+                  WHEN 'ranking_by_vendor' THEN 'Revenue by vendor'
+                  WHEN 'ranking_by_channel' THEN 'Revenue by channel'
+                  WHEN 'ranking_by_payment' THEN 'Revenue by payment method'
+                  WHEN 'quiet_days' THEN 'Revenue by day of week, weakest first'
+                  ELSE 'Overall sales performance' END AS headline,
+       CAST(NULL AS BIGINT) AS orders, CAST(NULL AS DECIMAL(38,2)) AS total_revenue
+FROM questions WHERE label IS NOT NULL
+UNION ALL
+SELECT q.question_id, CAST(NULL AS VARCHAR) AS label, 'retrieval' AS route,
+       CASE WHEN a.orders IS NOT NULL THEN 'Summary of the ' || a.orders || ' orders most relevant to your question'
+            ELSE 'Overall sales performance' END AS headline,
+       CAST(COALESCE(a.orders, w.all_orders) AS BIGINT) AS orders,
+       COALESCE(a.total_revenue, w.all_revenue) AS total_revenue
+FROM questions q LEFT JOIN agg a ON a.query_id = q.question_id CROSS JOIN whole w
+WHERE q.label IS NULL"""

@@ -66,3 +66,15 @@ def test_cleaning_rows_and_load_report(spark, sf):
     js = K.load_report_json(r.report, r.mismatches).collect()
     first = json.loads(js[0]["json"])
     assert "rows_in" in first and len(first.get("first_mismatches") or []) <= 5
+
+
+def test_answer_questions_routes(spark, sf):
+    from bookspark.operators import retrieval as R
+    s = T.sales(spark, sf)
+    idx = R.build_index(R.row_documents(s, id_col="line_id"))
+    qs = spark.createDataFrame([(1, "what sells?", "ranking_by_product"), (2, "small ring in January", None),
+                                (3, "zzzz qqqq", None)], "question_id bigint, text string, label string")
+    out = {r["question_id"]: r for r in Q.answer_questions(s, idx, qs, id_col="line_id").collect()}
+    assert out[1]["route"] == "analysis" and out[1]["headline"] == "Top 5 products by revenue"
+    assert out[2]["route"] == "retrieval" and out[2]["headline"].startswith("Summary of the ")
+    assert out[3]["headline"] == "Overall sales performance" and out[3]["orders"] == s.count()
