@@ -2,11 +2,13 @@
 
 On a cluster the session comes from the platform and already names
 ``spark.checkpoint.dir``; we only read it.  Tests and local runs get a
-fresh scratch folder under ``/tmp`` when the setting is unset.
+fresh scratch folder under ``/tmp`` when the setting is unset; a cluster
+without the setting is an error, because a local folder is not shared.
 """
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,7 +39,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.files.openCostInBytes", str(512 * 1024))
     )
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("FATAL")
+    spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -49,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="bookspark-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
