@@ -17,16 +17,17 @@ def to_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def word_pieces(data: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
+def word_pieces(data: bytes, piece: int = PIECE, lower: bool = True) -> Iterator[list[bytes]]:
     """The words of ``data`` in lists that cover about ``piece`` bytes each, so a
     very long text never becomes one list.  Cuts lie on white space only."""
     if len(data) <= piece:
-        yield data.translate(ASCII_LOWER).split()
+        yield (data.translate(ASCII_LOWER) if lower else data).split()
         return
     start, size = 0, len(data)
     while start < size:
         end = min(start + piece, size)
         while end < size and data[end] not in SPACES:
             end += 1
-        yield data[start:end].translate(ASCII_LOWER).split()
+        part = data[start:end]
+        yield (part.translate(ASCII_LOWER) if lower else part).split()
         start = end
