@@ -37,7 +37,7 @@ from bookspark.session import write_and_reload
 
 SEED = 42
 BLOCKS = 5
-CELL_ROWS = 4096
+CELL_ROWS = 2048
 LOW = 0x5555555555555555
 
 
@@ -118,47 +118,48 @@ def _cells(fps: DataFrame, max_bits: int, blocks: int) -> DataFrame:
             .select("_fp", "_key.*"))
 
 
-def _compare_blocks(fps: np.ndarray, run: np.ndarray, side: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked index pairs among rows sorted by run.  ``side`` is 0 for rows that
-    meet all rows of their run, else 1 or 2 for rows that meet only the other side."""
-    one = fps >> np.uint64(1)
-    low = np.uint64(LOW)
-    emb = ((fps | one) & low) | ((fps & one & low) << np.uint64(1))
-    left, right = [], []
-    step, rows = 1, np.arange(len(fps) - 1)
-    while len(rows):
-        rows = rows[rows + step < len(fps)]
-        rows = rows[run[rows] == run[rows + step]]
-        near = rows[np.bitwise_count(emb[rows] ^ emb[rows + step]) <= max_bits]
-        near = near[np.bitwise_count(fps[near] ^ fps[near + step]) <= max_bits]
-        near = near[(side[near] == 0) | (side[near] != side[near + step])]
-        left.append(near)
-        right.append(near + step)
-        step += 1
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int), np.empty(0, int))
-
-
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """For each of n rows the smallest row of its component under the links (a, b)."""
-    label = np.arange(n)
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (the smallest row known of each row's component) after the links (a, b)."""
     while len(a):
         low = np.minimum(label[a], label[b])
         np.minimum.at(label, label[a], low)
         np.minimum.at(label, label[b], low)
         label = label[label]
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
     while (label != label[label]).any():
         label = label[label]
     return label
 
 
+def _forest(fps: np.ndarray, run: np.ndarray, side: np.ndarray, max_bits: int) -> np.ndarray:
+    """For each of the rows, sorted by run, the smallest row that its links reach.
+    ``side`` is 0 for rows that meet all rows of their run, else 1 or 2 for rows
+    that meet only the other side.  Rows already together are not compared again,
+    and links are merged as they come, so memory follows the rows, not the pairs."""
+    one, low = fps >> np.uint64(1), np.uint64(LOW)
+    emb = ((fps | one) & low) | ((fps & one & low) << np.uint64(1))
+    label, held, n_held = np.arange(len(fps)), [], 0
+    step, rows = 1, np.arange(len(fps) - 1)
+    while len(rows):
+        rows = rows[:np.searchsorted(rows, len(fps) - step)]
+        rows = rows[run[rows] == run[rows + step]]
+        near = rows[(label[rows] != label[rows + step]) & ((side[rows] == 0) | (side[rows] != side[rows + step]))]
+        near = near[np.bitwise_count(emb[near] ^ emb[near + step]) <= max_bits]
+        near = near[np.bitwise_count(fps[near] ^ fps[near + step]) <= max_bits]
+        held.append((near, near + step))
+        n_held += len(near)
+        if n_held > len(fps):
+            label, held, n_held = _merge(label, *map(np.concatenate, zip(*held))), [], 0
+        step += 1
+    return _merge(label, *map(np.concatenate, zip(*held))) if held else label
+
+
 def _edges_of(table: pa.Table, max_bits: int) -> pa.RecordBatch:
     fps = table["_fp"].to_numpy().astype(np.int64).view(np.uint64)
     key = np.stack([table[c].to_numpy().astype(np.int64) for c in ("_kind", "_cell", "_pair")])
     run = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))]) if len(fps) else np.empty(0, int)
-    a, b = _compare_blocks(fps, run, table["_side"].to_numpy(), max_bits)
-    root = _forest(a, b, len(fps))
+    root = _forest(fps, run, table["_side"].to_numpy(), max_bits)
     child = np.flatnonzero(root != np.arange(len(fps)))
     signed = fps.view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(signed[child]), pa.array(signed[root[child]])], ["_a", "_b"])
