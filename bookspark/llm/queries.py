@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookspark.llm import bpe, lm_scoring, simhash, token_counts, topk, warc
+from bookspark.llm import bpe, lm_scoring, quality, simhash, token_counts, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select(F.col("_id").alias("doc_id"), F.col("_lang").alias("lang"), "perplexity", "threshold", "keep")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -45,6 +50,7 @@ QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_warc_conversion": op2_warc_conversion,
     "op3_lm_scoring": op3_lm_scoring,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_token_counts": op9_token_counts,
