@@ -5,7 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookspark.llm import bpe, lm_scoring, quality, simhash, token_counts, topk, warc
+from bookspark.llm import bpe, lm_scoring, packing, quality, simhash, token_counts, topk, warc
+from bookspark.session import write_and_reload
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,12 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    lengths = write_and_reload(counts.select("doc_id", "n_tokens"), "lengths")
+    return packing.pack(lengths, "n_tokens", order_by=["doc_id"])
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select(F.col("_id").alias("doc_id"), F.col("_lang").alias("lang"), "perplexity", "threshold", "keep")
@@ -50,6 +57,7 @@ QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_warc_conversion": op2_warc_conversion,
     "op3_lm_scoring": op3_lm_scoring,
+    "op5_packing": op5_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,

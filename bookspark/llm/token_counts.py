@@ -14,7 +14,8 @@ memory of words seen is bounded by ``CACHE_WORDS``.  Long texts are read in
 pieces cut at white space.
 
 Cases: null and empty texts have no words and no tokens; repeated rows stay
-repeated; an empty table gives an empty result; other columns are not read.
+repeated; an empty table gives an empty result; other columns are not read, or pass
+through ``with_token_counts`` unchanged.
 """
 from __future__ import annotations
 
@@ -25,12 +26,15 @@ from functools import partial
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bookspark.llm.text import to_bytes, word_pieces
 
 CACHE_WORDS = 200_000
 START, MORE = 0, 1
 UNKNOWN = 1 << 40
+COUNTS = ["n_words", "n_tokens", "n_unknown"]
 
 
 def load_pieces(path: str, start_mark: str = "▁") -> tuple[set[str], set[str]]:
@@ -113,11 +117,11 @@ class WordCounts(dict):
         return value
 
 
-def _count_batches(batches, automaton, lower: bool):
+def _count_batches(batches, automaton, lower: bool, text_at: int):
     known = WordCounts(LongestMatch(*automaton.value))
     for batch in batches:
         words, tokens, unknown = [], [], []
-        for text in batch.column(1):
+        for text in batch.column(text_at):
             n = total = 0
             for piece in word_pieces(to_bytes(text.as_py()), lower=lower):
                 n += len(piece)
@@ -125,14 +129,21 @@ def _count_batches(batches, automaton, lower: bool):
             words.append(n)
             tokens.append(total % UNKNOWN)
             unknown.append(total // UNKNOWN)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in (words, tokens, unknown))],
-                                         ["_id", "n_words", "n_tokens", "n_unknown"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.int64()) for v in (words, tokens, unknown))],
+                                         [*batch.schema.names, *COUNTS])
 
 
-def token_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text", id_col: str = "doc_id", lower: bool = False) -> DataFrame:
-    """``(id_col, n_words, n_tokens, n_unknown)`` of every row's whole text."""
+def with_token_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lower: bool = False) -> DataFrame:
+    """All columns, and ``n_words, n_tokens, n_unknown`` of every row's whole text;
+    columns of these names are replaced."""
     built = LongestMatch.build(*load_pieces(vocabulary_path))
     automaton = docs.sparkSession.sparkContext.broadcast((built.arcs, built.fail, built.popped))
+    docs = docs.drop(*COUNTS)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    return docs.mapInArrow(partial(_count_batches, automaton=automaton, lower=lower, text_at=docs.columns.index(text_col)), schema)
+
+
+def token_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text", id_col: str = "doc_id", lower: bool = False) -> DataFrame:
+    """``(id_col, n_words, n_tokens, n_unknown)`` of every row's whole text."""
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
-    schema = f"_id {rows.schema['_id'].dataType.simpleString()}, n_words bigint, n_tokens bigint, n_unknown bigint"
-    return rows.mapInArrow(partial(_count_batches, automaton=automaton, lower=lower), schema).withColumnRenamed("_id", id_col)
+    return with_token_counts(rows, vocabulary_path, "_text", lower).select(F.col("_id").alias(id_col), *COUNTS)
