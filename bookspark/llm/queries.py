@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookspark.llm import bpe, lm_scoring, packing, quality, simhash, token_counts, topk, warc
+from bookspark.llm import bpe, line_dedup, lm_scoring, packing, quality, simhash, token_counts, topk, warc
 from bookspark.session import write_and_reload
 
 
@@ -26,6 +26,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     lengths = write_and_reload(counts.select("doc_id", "n_tokens"), "lengths")
@@ -57,6 +61,7 @@ QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_warc_conversion": op2_warc_conversion,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_byte_bpe": op7_byte_bpe,
