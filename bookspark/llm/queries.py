@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookspark.llm import bpe, line_dedup, lm_scoring, packing, quality, simhash, token_counts, topk, warc
+from bookspark.llm import bpe, fingerprints, line_dedup, lm_scoring, packing, quality, simhash, token_counts, topk, warc
 from bookspark.session import write_and_reload
 
 
@@ -57,6 +57,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_warc_conversion": op2_warc_conversion,
@@ -67,4 +71,5 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
