@@ -376,7 +376,35 @@ def q_column_mapping(spark, sf):
 def q_apply_mapping(spark, sf):
     from bookspark.operators import mapping as M
     raw = T.sales_raw(spark, sf)
-    return M.apply_mapping(raw, M.selected_mapping(M.infer_mapping(raw)), n_files=25)
+    return M.apply_mapping(raw, M.selected_mapping(M.infer_mapping(raw))).drop("_present")
+
+
+def _clean_mixed(spark, sf):
+    from bookspark.operators import cleaning as C
+    return C.clean(T.sales_mixed(spark, sf))
+
+
+@register("mixed_mapping")
+def q_mixed_mapping(spark, sf):
+    """M5-M7 for shops with different headers in one load."""
+    from bookspark.operators import mapping as M
+    return M.selected_mapping(M.infer_mapping(T.sales_mixed(spark, sf)))
+
+
+@register("mixed_clean_rows")
+def q_mixed_clean_rows(spark, sf):
+    return _clean_mixed(spark, sf).clean
+
+
+@register("mixed_clean_report")
+def q_mixed_clean_report(spark, sf):
+    return _clean_mixed(spark, sf).report.drop("blanks_filled", "columns_renamed")
+
+
+@register("file_outcomes")
+def q_file_outcomes(spark, sf):
+    """Every input file of the mixed load, loaded or rejected, and why."""
+    return _clean_mixed(spark, sf).outcomes
 
 
 # ------------------------------------------------------------------ routing

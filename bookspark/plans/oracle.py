@@ -682,6 +682,47 @@ SELECT g._file, g."column", COALESCE(s.samples, []::VARCHAR[]) AS samples
 FROM grid g LEFT JOIN s USING (_file, position)"""
 
 
+# Shops with their own headers (shop number modulo 4): 2 has no order id, vendor or
+# payment method and keeps a note; 3 lacks required columns and is rejected.
+MIXED = RAW.replace("raw AS (", "raw_all AS (") + """,
+raw AS (
+  SELECT _file, _row, "Date", CASE WHEN kind = 2 THEN NULL ELSE "order id" END AS "order id", "Product ", "Qty",
+         "Unit Price (NGN)", "Total", CASE WHEN kind = 2 THEN NULL ELSE "Vendor" END AS "Vendor", channel,
+         CASE WHEN kind = 2 THEN NULL ELSE "Payment Method" END AS "Payment Method",
+         CASE WHEN kind = 2 THEN (_row // 2) % 3 END AS note
+  FROM (SELECT *, CAST(regexp_extract(_file, '(\\d+)$', 1) AS INTEGER) % 4 AS kind FROM raw_all) WHERE kind <> 3
+)"""
+MIXED_KIND = "CAST(regexp_extract(_file, '(\\d+)$', 1) AS INTEGER) % 4"
+
+ORACLE["mixed_clean_rows"] = _with(MIXED, DEDUPED.replace("MIN(_row) AS _row", "note, MIN(_row) AS _row")) + f"""
+SELECT _file, _row, order_id, date, product, qty, unit_price, total,
+       CASE WHEN {MIXED_KIND} <> 2 THEN vendor END AS vendor, channel,
+       CASE WHEN {MIXED_KIND} <> 2 THEN payment_method END AS payment_method,
+       CASE WHEN {MIXED_KIND} = 2 THEN 'note-' || CAST((_row // 2) % 3 AS VARCHAR) END AS note
+FROM fm WHERE _date_ok"""
+
+ORACLE["mixed_clean_report"] = _with(MIXED, DEDUPED.replace("MIN(_row) AS _row", "note, MIN(_row) AS _row")) + f"""
+SELECT * REPLACE (CASE WHEN {MIXED_KIND} = 2 THEN 0 ELSE blanks_vendor END AS blanks_vendor,
+                  CASE WHEN {MIXED_KIND} = 2 THEN 0 ELSE blanks_payment_method END AS blanks_payment_method)
+FROM rep"""
+
+ORACLE["mixed_mapping"] = _with(RAW) + f"""
+SELECT f._file, m.target, m.source
+FROM (SELECT DISTINCT _file, {MIXED_KIND} AS kind FROM raw) f
+JOIN (VALUES (0, 'date', 'Date'), (0, 'order_id', 'order id'), (0, 'product', 'Product '), (0, 'qty', 'Qty'),
+             (0, 'unit_price', 'Unit Price (NGN)'), (0, 'total', 'Total'),
+             (1, 'date', 'Day'), (1, 'order_id', 'Receipt No'), (1, 'product', 'Goods'), (1, 'qty', 'Pieces'),
+             (1, 'unit_price', 'Price'), (1, 'total', 'Amount'),
+             (2, 'date', 'Date'), (2, 'product', 'Item'), (2, 'qty', 'Quantity'), (2, 'unit_price', 'Rate'), (2, 'total', 'Amount'),
+             (3, 'date', 'Date'), (3, 'product', 'Total'), (3, 'qty', 'Qty'), (3, 'unit_price', 'Qty'), (3, 'total', 'Total')
+     ) m(kind, target, source) USING (kind)"""
+
+ORACLE["file_outcomes"] = _with(RAW) + f"""
+SELECT DISTINCT _file, CASE WHEN {MIXED_KIND} = 3 THEN 'missing_columns' ELSE 'ok' END AS status,
+       CASE WHEN {MIXED_KIND} = 3 THEN 'Missing columns: product, qty. Needs: date, product, qty, unit_price, total. Found: Date, Qty, Total.' END AS error
+FROM raw"""
+
+
 LABEL_SQL = """CASE WHEN w IN ('ranking_by_product', 'worst_by_product', 'monthly_trend', 'ranking_by_vendor',
        'ranking_by_channel', 'ranking_by_payment', 'quiet_days', 'revenue_summary') THEN w END"""
 

@@ -133,6 +133,29 @@ def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("_file", "_row", *[F.col(f"`{c}`") for c in RAW_COLUMNS])
 
 
+# Headers of the mixed export by shop number modulo 4: header name -> column of sales_raw.
+MIXED_HEADERS = [
+    {c: c for c in RAW_COLUMNS},
+    {"Day": "Date", "Receipt No": "order id", "Goods": "Product ", "Pieces": "Qty", "Price": "Unit Price (NGN)",
+     "Amount": "Total", "Vendor": "Vendor", "channel": "channel", "Payment Method": "Payment Method"},
+    {"Rate": "Unit Price (NGN)", "Item": "Product ", "Date": "Date", "Amount": "Total", "Quantity": "Qty", "channel": "channel"},
+    {"Date": "Date", "Qty": "Qty", "Total": "Total"},
+]
+
+
+def sales_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sales_raw`` as shops with headers of their own, in one frame: other names
+    and orders, shops without order id or vendor (which keep a ``_note``), and shops
+    that lack required columns."""
+    raw = sales_raw(spark, sf_dir)
+    kind = F.regexp_extract("_file", r"(\d+)$", 1).cast("int") % len(MIXED_HEADERS)
+    names = list(dict.fromkeys(c for h in MIXED_HEADERS for c in h))
+    def value(name):
+        return F.coalesce(*[F.when(kind == i, F.col(f"`{h[name]}`")) for i, h in enumerate(MIXED_HEADERS) if name in h]).alias(name)
+    note = F.when(kind == 2, F.concat(F.lit("note-"), (F.floor(F.col("_row") / 2) % 3).cast("string")))
+    return raw.select("_file", "_row", *[value(n) for n in names], note.alias("_note"))
+
+
 def narrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Narrations over the canonical ``sales`` table (see narrations_from)."""
     return narrations_from(sales(spark, sf_dir))
