@@ -359,15 +359,3 @@ def guidance_for(finding: str, column: str | None = None) -> str:
     if finding == "by_dimension":
         return GUIDANCE["by_dimension"].format(label=(column or "").replace("_", " "))
     return GUIDANCE[finding]
-
-
-def pct0(c: Column) -> Column:
-    """``f"{x:.0f}"`` for a percentage (half-even via format_number)."""
-    return F.format_number(c, 0)
-
-
-def signed_pct(c: Column, digits: int) -> Column:
-    """``f"{x:+.Nf}%"``."""
-    body = F.format_number(F.abs(c), digits)
-    body = F.regexp_replace(body, ",", "")
-    return F.concat(F.when(c < 0, "-").otherwise("+"), body, F.lit("%"))

@@ -14,9 +14,10 @@ MONEY = "decimal(38,2)"
 def money_sum(c: Column | str) -> Column:
     """Sum of money as an exact decimal (order-independent), 0 when empty.
 
-    pandas' sum of nothing is 0; Spark's is NULL."""
+    pandas' sum of nothing is 0; Spark's is NULL.  Six decimals are summed and
+    rounded once; 22 digits before the point hold any amount a file can mean."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.sum(c.cast("decimal(18,2)")), F.lit(0)).cast(MONEY)
+    return F.coalesce(F.sum(c.try_cast("decimal(28,6)")), F.lit(0)).cast(MONEY)
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

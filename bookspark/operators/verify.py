@@ -91,15 +91,12 @@ def resolve_attempts(df: DataFrame, answer1: str = "answer1", answer2: str = "an
         (~ok1 & has2).alias("retried"))
 
 
-MAX_PIVOT = 1000  # columns of the side-by-side table
-
-
 def model_comparison(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """V8 / K5 over ``(model, question, run, text, verified, unsupported,
     retried, seconds)``: per model - answers, mean length, mean seconds,
     unsupported numbers in total, retried, fixed by the retry, still
-    unverified; and the answers side by side per (question, run), one column
-    per model (the model list is metadata, collected bounded)."""
+    unverified; and the answers side by side as a long table, one row per
+    question, run and model."""
     per_model = results.groupBy("model").agg(
         F.count(F.lit(1)).alias("answers"),
         F.avg(F.length("text")).alias("mean_length"),
@@ -109,8 +106,5 @@ def model_comparison(results: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.count_if(F.col("retried")).alias("retried"),
         F.count_if(F.col("retried") & F.col("verified")).alias("fixed_by_retry"),
         F.count_if(~F.col("verified")).alias("unverified"))
-    models = [r[0] for r in results.select("model").distinct().orderBy("model").limit(MAX_PIVOT + 1).collect()]
-    if len(models) > MAX_PIVOT:
-        raise ValueError(f"more than {MAX_PIVOT} models: compare them with per_model, not side by side")
-    side = results.groupBy("question", "run").pivot("model", models).agg(F.first("text"))
+    side = results.groupBy("question", "run", "model").agg(F.first("text").alias("text"))
     return per_model, side

@@ -580,9 +580,9 @@ FROM raw"""
 
 ORACLE["report_rows"] = _with(SALES, PRODUCTS) + """
 , top AS (SELECT product, revenue FROM prod ORDER BY revenue DESC, product ASC LIMIT 5)
-SELECT 0 AS ord, 'question' AS section, 'Question' AS label, 'top products' AS value
-UNION ALL SELECT 1, 'headline', 'Headline', 'Top 5 products by revenue'
-UNION ALL SELECT 2, 'table', product, CAST(revenue AS VARCHAR) FROM top"""
+SELECT 0 AS ord, 0 AS pos, 'question' AS section, 'Question' AS label, 'top products' AS value
+UNION ALL SELECT 1, 0, 'headline', 'Headline', 'Top 5 products by revenue'
+UNION ALL SELECT 2, ROW_NUMBER() OVER (ORDER BY revenue DESC, product ASC) - 1, 'table', product, CAST(revenue AS VARCHAR) FROM top"""
 
 CELLS = """
 cols AS (SELECT * FROM (VALUES (0, 'Date'), (1, 'order id'), (2, 'Product '), (3, 'Qty'), (4, 'Unit Price (NGN)'),

@@ -48,25 +48,25 @@ def load_report_json(report: DataFrame, mismatches: DataFrame, mapping: DataFram
 
 def finding_rows(table: DataFrame, question: str, headline: str, label_col: str | None = None,
                  facts: DataFrame | None = None, narration: str | None = None) -> DataFrame:
-    """K3: long report rows (ord, section, label, value): question, headline,
+    """K3: long report rows (ord, pos, section, label, value): question, headline,
     one row per table record (value = revenue if present, else the second
-    column), facts, narration."""
+    column; ``pos`` ascends in the table's order), facts, narration."""
     cols = table.columns
     label_col = label_col or cols[0]
     value_col = "revenue" if "revenue" in cols else cols[1]
     spark = table.sparkSession
-    head = spark.createDataFrame([(0, "question", "Question", question), (1, "headline", "Headline", headline)],
-                                 "ord int, section string, label string, value string")
-    body = table.select(F.lit(2).alias("ord"), F.lit("table").alias("section"),
+    head = spark.createDataFrame([(0, 0, "question", "Question", question), (1, 0, "headline", "Headline", headline)],
+                                 "ord int, pos bigint, section string, label string, value string")
+    body = table.select(F.lit(2).alias("ord"), F.monotonically_increasing_id().alias("pos"), F.lit("table").alias("section"),
                         F.col(label_col).cast("string").alias("label"),
                         F.col(value_col).cast("string").alias("value"))
     out = head.unionByName(body)
     if facts is not None:
-        out = out.unionByName(facts.select(F.lit(3).alias("ord"), F.lit("facts").alias("section"),
+        out = out.unionByName(facts.select(F.lit(3).alias("ord"), F.lit(0).cast("bigint").alias("pos"), F.lit("facts").alias("section"),
                                            F.initcap(F.regexp_replace("key", "_", " ")).alias("label"),
                                            F.col("text").alias("value")))
     if narration is not None:
-        out = out.unionByName(spark.createDataFrame([(4, "narration", "Narration", narration)], out.schema))
+        out = out.unionByName(spark.createDataFrame([(4, 0, "narration", "Narration", narration)], out.schema))
     return out
 
 
@@ -100,11 +100,3 @@ def cleaning_rows(report: DataFrame, mismatches: DataFrame) -> DataFrame:
                             .otherwise(F.lit("No arithmetic mismatches were found.")).alias("label"),
                            F.when(F.col("total_mismatches") > 0, F.col("total_mismatches").cast("string")).alias("value"))
     return counters.unionByName(blanks).unionByName(header).unionByName(lines)
-
-
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
-
-def write_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)

@@ -28,7 +28,7 @@ def _run_batch(out_dir: str):
         raw = files.read_csv_files(spark, prof)
         if not [c for c in raw.columns if not c.startswith("_")]:
             return
-        load_sales(raw, n_files=len(paths), out_dir=f"{out_dir}/load/batch={batch_id}")
+        load_sales(raw, n_files=len(paths), headers=files.csv_headers(prof), out_dir=f"{out_dir}/load/batch={batch_id}")
     return run
 
 
