@@ -108,13 +108,18 @@ HANDLERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+DIMENSIONS = {"ranking_by_vendor": "vendor", "ranking_by_channel": "channel", "ranking_by_payment": "payment_method"}
+
+
 def dispatch(sales: DataFrame, questions: DataFrame) -> dict[str, DataFrame]:
     """Q1 for a table of ``(question_id, question, label)``: each analysis
     runs once for all questions carrying its label (the label set is the
     eight fixed names, collected as metadata); questions whose label is NULL
-    or unknown go to retrieval (R5)."""
-    labels = [r[0] for r in questions.select("label").distinct().collect() if r[0] in HANDLERS]
-    return {lab: HANDLERS[lab](sales) for lab in labels}
+    or unknown go to retrieval (R5).  A dimension that the sales table lacks gives
+    an empty finding and leaves the other answers alone."""
+    labels = [r[0] for r in questions.filter(F.col("label").isin(LABELS)).select("label").distinct().collect()]
+    return {lab: HANDLERS[lab](sales) if DIMENSIONS.get(lab, "date") in sales.columns
+            else HANDLERS[lab](sales.withColumn(DIMENSIONS[lab], F.lit(None).cast("string")).limit(0)) for lab in labels}
 
 
 def answer_questions(sales: DataFrame, index, questions: DataFrame, top_k: int = 50,

@@ -425,6 +425,39 @@ def q_parse_label(spark, sf):
     return c.select("conv_id", "turn", Q.parse_label(F.col("text")).alias("label"))
 
 
+def _routed(spark, sf):
+    from bookspark.operators import routing as Q
+    return T.routing_log(spark, sf).withColumn("got", Q.parse_label(F.col("output")))
+
+
+@register("routed_log")
+def q_routed_log(spark, sf):
+    """Q2 + Q3 on a routing log whose texts hit every hint and every kind of output."""
+    from bookspark.operators import routing as Q
+    return _routed(spark, sf).select("id", Q.dimension_hint(F.col("question")).alias("hint"), "got")
+
+
+@register("routing_by_label")
+def q_routing_by_label(spark, sf):
+    """Q4 per category."""
+    from bookspark.operators import routing as Q
+    return Q.routing_eval(_routed(spark, sf))[0]
+
+
+@register("routing_overall")
+def q_routing_overall(spark, sf):
+    """Q4 overall."""
+    from bookspark.operators import routing as Q
+    return Q.routing_eval(_routed(spark, sf))[1]
+
+
+@register("routing_stability")
+def q_routing_stability(spark, sf):
+    """Q5."""
+    from bookspark.operators import routing as Q
+    return Q.routing_stability(_routed(spark, sf))
+
+
 # -------------------------------------------------------------------- sinks
 
 @register("report_rows")

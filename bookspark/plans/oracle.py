@@ -762,3 +762,30 @@ SELECT q.question_id, CAST(NULL AS VARCHAR) AS label, 'retrieval' AS route,
        COALESCE(a.total_revenue, w.all_revenue) AS total_revenue
 FROM questions q LEFT JOIN agg a ON a.query_id = q.question_id CROSS JOIN whole w
 WHERE q.label IS NULL"""
+
+
+from bookspark.sources.tables import LOG_LABELS, LOG_QUESTIONS  # noqa: E402
+
+ROUTED = f"""
+l AS (SELECT conv_id * 1000 + turn AS id, {LOG_LABELS!r} AS labels, {LOG_QUESTIONS!r} AS questions FROM conversations),
+o AS (SELECT id, CAST(id % 3 AS INTEGER) AS run, questions[id % 8 + 1] AS question, labels[id % 8 + 1] AS expected,
+             CAST((id % 7) / 2 AS DOUBLE) AS seconds,
+             CASE id % 5 WHEN 2 THEN 'i' WHEN 3 THEN labels[(id + 3) % 8 + 1] ELSE labels[id % 8 + 1] END AS word FROM l),
+routed AS (SELECT *, CASE WHEN word <> 'i' THEN word END AS got FROM o)"""
+
+ORACLE["routed_log"] = _with(ROUTED) + f"SELECT id, {_hint_sql('question')} AS hint, got FROM routed"
+
+ORACLE["routing_by_label"] = _with(ROUTED) + """
+SELECT expected, COUNT(*) FILTER (WHERE got = expected) AS correct, COUNT(*) AS total,
+       COUNT(*) FILTER (WHERE got = expected) / COUNT(*) AS accuracy
+FROM routed GROUP BY expected"""
+
+ORACLE["routing_overall"] = _with(ROUTED) + """
+SELECT COUNT(*) FILTER (WHERE got = expected) AS correct, COUNT(*) AS total,
+       COUNT(*) FILTER (WHERE got = expected) / COUNT(*) AS accuracy, AVG(seconds) AS mean_seconds, SUM(seconds) AS total_seconds
+FROM routed"""
+
+ORACLE["routing_stability"] = _with(ROUTED) + """
+SELECT (SELECT quantile_cont(score, 0.5) FROM (SELECT COUNT(*) FILTER (WHERE got = expected) AS score FROM routed GROUP BY run)) AS median_score,
+       (SELECT COUNT(DISTINCT run) FROM routed) AS runs,
+       (SELECT COUNT(*) FROM (SELECT question FROM routed GROUP BY question HAVING COUNT(DISTINCT COALESCE(got, '<none>')) > 1)) AS flaky_questions"""

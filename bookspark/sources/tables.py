@@ -190,6 +190,29 @@ def narrations_from(s: DataFrame) -> DataFrame:
                     answer1.alias("answer1"), answer2.alias("answer2"))
 
 
+# Question patterns of the derived routing log, by expected label (alphabetical).
+LOG_LABELS = ["monthly_trend", "quiet_days", "ranking_by_channel", "ranking_by_payment",
+              "ranking_by_product", "ranking_by_vendor", "revenue_summary", "worst_by_product"]
+LOG_QUESTIONS = ["How are we growing?", "When is the shop emptiest?", "Is the App ahead of walk-in?", "Do people pay by CASH?",
+                 "What sells best?", "Which branch earns most?", "How are we doing?", "What should I drop?"]
+
+
+def routing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, run, question, expected, output, seconds): a routing log with one entry per
+    turn of ``conversations``; the question, the right label and what a model might
+    have written (reasoning, other case, wrong label, prose) follow from the key."""
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
+    expected, other = pick(LOG_LABELS, key % 8), pick(LOG_LABELS, (key + 3) % 8)
+    output = (F.when(key % 5 == 0, F.concat(F.lit("<think>maybe ranking_by_vendor</think>  "), F.upper(expected), F.lit(":")))
+              .when(key % 5 == 1, F.concat(expected, F.lit(".")))
+              .when(key % 5 == 2, F.concat(F.lit("I think it is "), expected))
+              .when(key % 5 == 3, other).otherwise(F.concat(F.lit(" "), expected, F.lit(" because"))))
+    return load(spark, sf_dir, "conversations").select(
+        key.alias("id"), (key % 3).cast("int").alias("run"), pick(LOG_QUESTIONS, key % 8).alias("question"),
+        expected.alias("expected"), output.alias("output"), ((key % 7) / 2).cast("double").alias("seconds"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sales_raw`` as a spreadsheet cell table (_file, sheet, row, col, type,
     value): a title row and a blank-ish note row above the header row, data

@@ -78,3 +78,12 @@ def test_answer_questions_routes(spark, sf):
     assert out[1]["route"] == "analysis" and out[1]["headline"] == "Top 5 products by revenue"
     assert out[2]["route"] == "retrieval" and out[2]["headline"].startswith("Summary of the ")
     assert out[3]["headline"] == "Overall sales performance" and out[3]["orders"] == s.count()
+
+
+def test_a_missing_dimension_is_an_empty_finding(spark, sf):
+    from bookspark.operators import routing as Q
+    sales = T.sales(spark, sf).drop("vendor")
+    asked = spark.createDataFrame([(1, "q", "ranking_by_vendor"), (2, "q", "quiet_days"), (3, "q", "nonsense")], "question_id int, question string, label string")
+    found = Q.dispatch(sales, asked)
+    assert set(found) == {"ranking_by_vendor", "quiet_days"}
+    assert found["ranking_by_vendor"].count() == 0 and found["quiet_days"].count() == 7
