@@ -36,7 +36,7 @@ from bookspark.session import write_and_reload
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -158,16 +158,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PA
         raise ValueError("the overlap must be positive and below the chunk")
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    rest = [c for c in docs.columns if c != text_col]
-    rows = docs.select(*(docs[f"`{c}`"] for c in rest), F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")).alias("_text"))
-    schema = T.StructType([rows.schema[c] for c in rest] + [T.StructField("_ids", T.BinaryType())])
+    rest = [c for c in docs.columns if c not in (text_col, ids_col)]
+    held = [f"c{i}" for i in range(len(rest))]  # no name of the input can clash with ours
+    rows = docs.select(*(docs[f"`{c}`"].alias(h) for c, h in zip(rest, held)), F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")).alias("_text"))
+    schema = T.StructType([rows.schema[h] for h in held] + [T.StructField("_ids", T.BinaryType())])
     is_long = F.length("_text") > chunk_chars
     short = rows.filter(~is_long).mapInArrow(partial(_encode_short, ranks=ranks, pattern=pattern, text_at=len(rest)), schema)
     key = F.sha2("_text", 256).alias("_key")
     texts = rows.filter(is_long).select(key, "_text").dropDuplicates(["_key"])
     encoded = _encode_long(texts, ranks, pattern, chunk_chars, overlap_chars)
-    long = rows.filter(is_long).select(*(f"`{c}`" for c in rest), key).join(encoded, "_key").select(*(f"`{c}`" for c in rest), "_ids")
-    return short.unionByName(long).withColumnRenamed("_ids", ids_col)
+    long = rows.filter(is_long).select(*held, key).join(encoded, "_key").select(*held, "_ids")
+    return short.unionByName(long).select(*(F.col(h).alias(c) for h, c in zip(held, rest)), F.col("_ids").alias(ids_col))
 
 
 def _decode_batches(batches, tokens, ids_at: int):
@@ -182,6 +183,9 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col:
     null has none.  An id without a token is an error."""
     ranks = load_ranks(ranks_path)
     tokens = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
-    schema = T.StructType([*encoded.schema.fields, T.StructField("_raw", T.BinaryType())])
-    run = partial(_decode_batches, tokens=tokens, ids_at=encoded.columns.index(ids_col))
-    return encoded.mapInArrow(run, schema).withColumnRenamed("_raw", bytes_col)
+    rest = [c for c in encoded.columns if c != bytes_col]
+    held = [f"c{i}" for i in range(len(rest))]
+    rows = encoded.select(*(encoded[f"`{c}`"].alias(h) for c, h in zip(rest, held)))
+    schema = T.StructType([*rows.schema.fields, T.StructField("_raw", T.BinaryType())])
+    out = rows.mapInArrow(partial(_decode_batches, tokens=tokens, ids_at=rest.index(ids_col)), schema)
+    return out.select(*(F.col(h).alias(c) for h, c in zip(held, rest)), F.col("_raw").alias(bytes_col))

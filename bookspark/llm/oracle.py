@@ -3,10 +3,10 @@
 ORACLE: dict[str, str] = {
     "op1_exact_topk": """
         WITH v AS (
-          SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
           FROM embeddings
           WHERE embedding IS NOT NULL
-            AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+            AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
         ), s AS (
           SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
@@ -26,4 +26,29 @@ ORACLE: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to
         FROM g
     """,
+    "op4_line_dedup": """
+        WITH l AS (
+          SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                 generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+          FROM documents
+        ), w AS (
+          SELECT doc_id, line_no, list_sort(list_distinct(list_filter(
+                   regexp_split_to_array(line, '[ \\t\\x0B\\f\\r]+'), lambda x: x <> ''))) AS words
+          FROM l
+        ), d AS (
+          SELECT words, len(words) AS n, min(doc_id * 1000000 + line_no) AS first FROM w WHERE len(words) > 0 GROUP BY words
+        ), m AS (
+          SELECT DISTINCT y.first
+          FROM d x JOIN d y ON x.first < y.first AND x.n >= 0.8 * y.n - 1e-9 AND y.n >= 0.8 * x.n - 1e-9
+          WHERE len(list_intersect(x.words, y.words)) >= ceil((x.n + y.n) * (0.8 / 1.8) - 1e-9)
+        ), gone AS (
+          SELECT w.doc_id, list(CAST(w.line_no AS INTEGER) ORDER BY w.line_no) AS removed
+          FROM w JOIN d USING (words) LEFT JOIN m ON m.first = d.first
+          WHERE m.first IS NOT NULL OR w.doc_id * 1000000 + w.line_no <> d.first
+          GROUP BY w.doc_id
+        )
+        SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS INTEGER) AS n_lines,
+               CAST(coalesce(len(removed), 0) AS INTEGER) AS n_removed, coalesce(removed, []::INTEGER[]) AS removed_lines
+        FROM documents LEFT JOIN gone USING (doc_id)
+    """,
 }

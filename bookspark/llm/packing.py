@@ -102,9 +102,7 @@ def assign(rows: DataFrame, length_col: str, found: list[int], n_rows: int, budg
 
 def pack(rows: DataFrame, length_col: str, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, order_by: list[str] | None = None,
          shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """All columns and the batch of each row."""
-    taken = {"bucket_tokens", "batch_id", "batch_rows"} & set(rows.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are to be added; rename them first")
+    """All columns and the batch of each row; columns of the added names are replaced."""
+    rows = rows.drop("bucket_tokens", "batch_id", "batch_rows")
     found, _, n = choose_buckets(rows, length_col, buckets)
     return assign(rows, length_col, found, n, budget, order_by, shard_rows)

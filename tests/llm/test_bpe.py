@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 from bookspark.llm import bpe
 
@@ -27,11 +28,11 @@ def test_matches_the_library_and_round_trips(spark):
     enc = _reference()
     texts = _texts()
     rows = [(i, t, "keep") for i, t in enumerate(texts)] + [(0, "w w " * 90, "twice"), (0, "w w " * 90, "twice"), (None, "n n" * 90, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string").withColumn("_ids", F.lit(1)).withColumn("c0", F.lit("c")).withColumn("_text", F.lit("t"))
     for size, overlap in ((64, 16), (100_000, 100), (50, 49)):
-        encoded = bpe.encode(df.withColumnRenamed("_key", "note"), PATH, chunk_chars=size, overlap_chars=overlap)
+        encoded = bpe.encode(df, PATH, chunk_chars=size, overlap_chars=overlap)
         got = bpe.decode(encoded, PATH).collect()
-        have = sorted(((r["doc_id"], r["note"], bytes(r["ids"]), bytes(r["bytes"])) for r in got), key=str)
+        have = sorted(((r["doc_id"], r["_key"], bytes(r["ids"]), bytes(r["bytes"])) for r in got), key=str)
         want = []
         for i, t, note in rows:
             ids = enc.encode_ordinary(t or "")

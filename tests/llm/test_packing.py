@@ -36,7 +36,7 @@ def test_length_classes_hold_their_lengths(spark):
 def test_batches_keep_to_the_budget(spark):
     rnd = random.Random(8)
     rows = [(i, rnd.choice([3, 3, 3, rnd.randint(0, 900)])) for i in range(700)] + [(None, 3), (None, None), (5, 3), (5, 3), (999, 100_000)]
-    df = spark.createDataFrame(rows, "doc_id long, n long").withColumn("bucket", F.lit("x"))
+    df = spark.createDataFrame(rows, "doc_id long, n long").withColumn("bucket", F.lit("x")).withColumn("batch_id", F.lit(3))
     for shard in (50_000, 60):
         got = P.pack(df, "n", buckets=5, budget=4096, order_by=["doc_id"], shard_rows=shard).collect()
         assert len(got) == len(rows) and sorted((r["doc_id"], r["n"]) for r in got if r["doc_id"] is not None and r["n"] is not None) == sorted(r for r in rows if None not in r)
