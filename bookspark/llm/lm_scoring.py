@@ -105,7 +105,7 @@ def _count_arcs(batches, words, n_states: int):
                     arcs = (ids >= 0) & (states >= 0)
                     codes.append(states[arcs] * n_states + ids[arcs])
                     held, state = held + len(codes[-1]), int(ids[-1])
-            if held > 4_000_000:
+            if held > 1_000_000:
                 yield folded(codes)
                 codes, held = [], 0
     if codes:
