@@ -4,14 +4,14 @@ Method.  A line is the set of its words.  The words of each line are ordered by
 rarity; two lines of Jaccard similarity ``t`` or more share a word among the first
 ``n - ceil(t * n) + 1`` of each (prefix filter).  Of lines that meet on such a word,
 those pass whose lengths fit, whose positions leave room for the overlap, and whose
-64-bit word bitmaps do not already differ in more bits than words may differ.  The
+256-bit word parities do not already differ in more bits than words may differ.  The
 rest are verified on the words themselves.  A line goes if it is like an earlier one
 (by id, text hash, line number); the earliest stays.
 
-Rarity is measured over all lines, by class of word: byte length and hash, 4096
-classes in all, so that the counts are one bounded table and every word's place in
-the order follows from the word alone.  Any order gives the same result; one that
-puts words of rare classes first keeps the list of a word short.
+Rarity is measured over all lines, by class of word (its byte length): tokens per
+distinct word.  That is one bounded table, and every word's place in the order
+follows from the word alone.  Any order gives the same result; one that puts words
+of rare classes first keeps the list of a word short.
 
 Scale.  Equal lines are folded first, by partial aggregation, so a line that a third
 of all documents share is one row.  Near copies meet the earliest line of each word
@@ -27,14 +27,15 @@ same lines; an empty table gives an empty result; other columns pass through
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookspark.session import write_and_reload
 
 THRESHOLD = 0.8
-LENGTHS, HASHES = 64, 64
+LENGTHS = 128
 BROADCAST_LINES = 500_000
+LEAD_WORDS, LEADERS = 3, 8
 SPACE = "[ \\t\\x0B\\f\\r]+"
 EPS = 1e-9
 
@@ -56,17 +57,30 @@ def _position() -> Column:
     return F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "line_no")
 
 
-def _class(word: Column) -> Column:
-    return F.least(F.octet_length(word), F.lit(LENGTHS - 1)) * HASHES + F.pmod(F.hash(word), F.lit(HASHES))
-
-
 def rarity(documents: DataFrame) -> Column:
-    """A constant array: the rank of each class of words, rarest first."""
+    """A constant array: the rank of each length of words, rarest first."""
+    length = F.least(F.octet_length("w"), F.lit(LENGTHS - 1))
     seen = (documents.select(F.explode(F.split("text", "[ \\t\\n\\x0B\\f\\r]+")).alias("w"))
-            .groupBy(_class(F.col("w")).alias("class")).agg(F.count(F.lit(1)).alias("c")).collect())  # at most 4096 rows
-    counts = dict(map(tuple, seen))
-    rank = {k: i for i, k in enumerate(sorted(range(LENGTHS * HASHES), key=lambda k: (counts.get(k, 0), k)))}
-    return F.expr("array(" + ",".join(f"{rank[k]}L" for k in range(LENGTHS * HASHES)) + ")")
+            .groupBy(length.alias("length")).agg((F.count(F.lit(1)) / F.approx_count_distinct("w")).alias("mean")).collect())  # at most LENGTHS rows
+    mean = dict(map(tuple, seen))
+    rank = {k: i for i, k in enumerate(sorted(range(LENGTHS), key=lambda k: (mean.get(k, 0.0), -k)))}
+    return F.array(*(F.lit(rank[k]).cast("long") for k in range(LENGTHS)))
+
+
+def _once(c: Column, name: str) -> Column:
+    """A generated column: later expressions read it instead of repeating it."""
+    return F.explode(F.array(c)).alias(name)
+
+
+PARITIES = ["a", "b", "c", "d"]
+WIDE_WORDS = 32
+
+
+def _parity(tokens: str, quarter: int) -> Column:
+    """64 bits, each the parity of the words that are hashed to it; a word counts in one of four quarters."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 2).bitwiseAND(F.lit(63)).cast("int"))
+    mine = F.filter(tokens, lambda x: x.bitwiseAND(F.lit(3)) == quarter)
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
 
 
 def _overlap(n: Column, m: Column, t: float) -> Column:
@@ -78,15 +92,19 @@ def distinct_lines(documents: DataFrame, t: float) -> DataFrame:
     """One row per distinct line with words: ``ord`` (ascending with its first position),
     its hash, that position, the number of words, the prefix and the bitmap."""
     rank = rarity(documents)
-    low = F.lit((1 << 51) - 1)
-    token = F.transform(words(F.col("line")), lambda w: F.shiftleft(F.get(rank, _class(w)), 51).bitwiseOR(F.xxhash64(w).bitwiseAND(low)))
-    tokens = F.array_sort(F.array_distinct(token))
+    low = F.lit((1 << 56) - 1)
+    place = lambda w: F.coalesce(F.get(rank, F.octet_length(w)), F.lit(LENGTHS - 1).cast("long"))
+    token = F.transform(words(F.col("line")), lambda w: F.shiftleft(place(w), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(low)))
     n = F.size("tokens")
-    bitmap = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    folded = (_lines(documents).select("id", "th", "line_no", F.unhex(F.md5("line")).alias("hash"), tokens.alias("tokens"))
-              .filter(n > 0)
-              .select("hash", _position().alias("first"),
-                      F.struct(n.alias("n"), bitmap.alias("bm"), F.slice("tokens", 1, n - F.ceil(n * F.lit(t) - EPS).cast("int") + 1).alias("prefix")).alias("of"))
+    a, b, c, d = (_parity("tokens", i) for i in range(4))
+    wide = n > WIDE_WORDS  # a short line needs two of the four; zeros cost little in a shuffle
+    none = F.lit(0).cast("long")
+    of = F.struct(n.alias("n"), F.when(wide, a).otherwise(a.bitwiseXOR(c)).alias("a"), F.when(wide, b).otherwise(b.bitwiseXOR(d)).alias("b"),
+                  F.when(wide, c).otherwise(none).alias("c"), F.when(wide, d).otherwise(none).alias("d"),
+                  F.transform(F.slice("tokens", 1, n - F.ceil(n * F.lit(t) - EPS).cast("int") + 1), lambda x: F.hash(x)).alias("prefix"))
+    folded = (_lines(documents)
+              .select("id", "th", "line_no", F.unhex(F.md5("line")).alias("hash"), _once(F.sort_array(F.array_distinct(token)), "tokens"))
+              .filter(n > 0).select("hash", _position().alias("first"), of.alias("of"))
               .groupBy("hash").agg(F.min("first").alias("first"), F.first("of").alias("of")))
     ordered = (folded.select("hash", "first", "of.*").repartitionByRange(F.col("first"))
                .sortWithinPartitions("first").withColumn("ord", F.monotonically_increasing_id()))
@@ -94,25 +112,29 @@ def distinct_lines(documents: DataFrame, t: float) -> DataFrame:
 
 
 def _may_match(x: str, y: str, t: float) -> Column:
-    """Length, positional and bitmap filters of two postings."""
+    """Length, positional and parity filters of two postings."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     need = _overlap(n, m, t)
     room = 1 + F.least(n - F.col(f"{x}.i") - 1, m - F.col(f"{y}.i") - 1)
-    return ((F.least(n, m) >= F.greatest(n, m) * F.lit(t) - EPS) & (room >= need)
-            & (F.bit_count(F.col(f"{x}.bm").bitwiseXOR(F.col(f"{y}.bm"))) <= n + m - 2 * need))
+    d = {k: F.col(f"{x}.{k}").bitwiseXOR(F.col(f"{y}.{k}")) for k in PARITIES}
+    differ = (F.when((n > WIDE_WORDS) & (m > WIDE_WORDS), sum(F.bit_count(d[k]) for k in PARITIES))
+              .otherwise(F.bit_count(d["a"].bitwiseXOR(d["c"])) + F.bit_count(d["b"].bitwiseXOR(d["d"]))))
+    return (F.least(n, m) >= F.greatest(n, m) * F.lit(t) - EPS) & (room >= need) & (differ <= n + m - 2 * need)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, documents: DataFrame, t: float) -> DataFrame:
     """Of the pairs ``(x, y)`` of ord, those with similarity ``t`` or more."""
     needed = pairs.select(F.explode(F.array("x", "y")).alias("ord")).distinct()
     needed = write_and_reload(lines.select("ord", "hash", "first").join(needed, "ord"), "needed-lines")
-    needed_docs = needed.select("ord", "first.id", "first.th", "first.line_no")
+    wanted = needed.groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.line_no", "ord")).alias("want"))
     if needed.count() <= BROADCAST_LINES:
-        needed_docs = F.broadcast(needed_docs)
-    mine = [F.col("l.id").eqNullSafe(F.col("k.id")), F.col("l.th") == F.col("k.th"), F.col("l.line_no") == F.col("k.line_no")]
+        wanted = F.broadcast(wanted)
+    d, k = documents.alias("d"), wanted.alias("k")
     # Rows that repeat id and text give a line more than once.
-    texts = write_and_reload(_lines(documents).alias("l").join(needed_docs.alias("k"), mine)
-                             .select("ord", F.array_distinct(words(F.col("line"))).alias("words")).dropDuplicates(["ord"]), "needed-words")
+    texts = write_and_reload(
+        d.join(k, F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.th") == F.col("k.th")))
+        .select(F.split("text", "\n").alias("parts"), F.explode("want").alias("w"))
+        .select("w.ord", F.array_distinct(words(F.get("parts", F.col("w.line_no")))).alias("words")).dropDuplicates(["ord"]), "needed-words")
     both = (pairs.join(texts.select(F.col("ord").alias("x"), F.col("words").alias("xw")), "x")
             .join(texts.select(F.col("ord").alias("y"), F.col("words").alias("yw")), "y"))
     return both.filter(F.size(F.array_intersect("xw", "yw")) >= _overlap(F.size("xw"), F.size("yw"), t)).select("x", "y")
@@ -120,18 +142,27 @@ def _verified(pairs: DataFrame, lines: DataFrame, documents: DataFrame, t: float
 
 def matched_lines(documents: DataFrame, lines: DataFrame, t: float) -> DataFrame:
     """``(ord)`` of every distinct line that is like an earlier one."""
-    postings = (lines.select("ord", "n", "bm", F.posexplode("prefix").alias("i", "token"))
-                .select(F.hash("token").alias("token"), F.struct("ord", "n", "i", "bm").alias("p")))
-    lists = write_and_reload(
-        postings.join(postings.groupBy("token").agg(F.min("p").alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "token"),
-        "postings")
-    followers = lists.filter("p.ord != lead.ord")
-    first = followers.filter(_may_match("lead", "p", t)).select(F.col("lead.ord").alias("x"), F.col("p.ord").alias("y")).distinct()
+    fields = ["ord", "n", "i", *PARITIES]
+    heads = (lines.select("ord", "n", *PARITIES, F.posexplode(F.slice("prefix", 1, LEAD_WORDS)).alias("i", "token"))
+             .select("token", F.struct(*fields).alias("p")))
+    earlier = Window.partitionBy("token").orderBy("p.ord").rowsBetween(Window.unboundedPreceding, -1)
+    met = heads.select("p", *[F.nth_value("p", k + 1).over(earlier).alias(f"lead{k}") for k in range(LEADERS)])
+    like = F.array_compact(F.array(*[F.when(_may_match(f"lead{k}", "p", t), F.col(f"lead{k}.ord")) for k in range(LEADERS)]))
+    first = met.select(F.explode(like).alias("x"), F.col("p.ord").alias("y")).distinct()
     done = write_and_reload(_verified(write_and_reload(first, "pairs"), lines, documents, t).select(F.col("y").alias("ord")).distinct(), "matched")
-    others = followers.filter("members > 2").select("token", "p")
-    open_ = others.join(done, others["p.ord"] == done["ord"], "left_anti").select("token", F.col("p").alias("q"))
-    rest = (others.join(open_, "token").filter((F.col("p.ord") < F.col("q.ord")) & _may_match("p", "q", t))
-            .select(F.col("p.ord").alias("x"), F.col("q.ord").alias("y")).distinct())
+
+    settled = done.withColumn("settled", F.lit(True))
+    if done.count() <= BROADCAST_LINES:
+        settled = F.broadcast(settled)
+    rows = lines.join(settled, "ord", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    short = F.slice("prefix", 1, F.col("n") - F.ceil(F.col("n") * F.lit(2 * t / (1 + t)) - EPS).cast("int") + 1)
+    posting = F.struct(*fields, "settled")
+    index = rows.select("ord", "n", *PARITIES, "settled", F.posexplode(short).alias("i", "token")).select("token", posting.alias("p"))
+    probe = rows.select("ord", "n", *PARITIES, "settled", F.posexplode("prefix").alias("i", "token")).select("token", posting.alias("q"))
+    shorter = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.ord") < F.col("q.ord")))
+    open_ = ~F.when(F.col("p.ord") > F.col("q.ord"), F.col("p.settled")).otherwise(F.col("q.settled"))
+    rest = (index.join(probe, "token").filter(shorter & open_ & _may_match("p", "q", t))
+            .select(F.least("p.ord", "q.ord").alias("x"), F.greatest("p.ord", "q.ord").alias("y")).distinct())
     more = _verified(write_and_reload(rest, "pairs"), lines, documents, t).select(F.col("y").alias("ord"))
     return done.unionByName(more).distinct()
 
