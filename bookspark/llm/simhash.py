@@ -259,12 +259,15 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shing
     is the component's smallest.  Rows with a null id are kept only where their
     component has no other id (and then all of them, as nothing tells them apart);
     of rows that repeat the smallest id one is kept."""
-    found = near_duplicates(docs, text_col, id_col, shingle_words, max_bits)
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    rows = docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
-    repeated = rows.groupBy(id_col).count().filter("count > 1").filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_rep"))
-    single = rows.join(repeated, rows[id_col] == F.col("_rep"), "left_anti")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
-    first = (rows.join(repeated, rows[id_col] == F.col("_rep"), "left_semi")
-             .withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn"))
+    found = write_and_reload(near_duplicates(docs, text_col, id_col, shingle_words, max_bits).select(F.col(id_col).alias("_keep"), "component_id"), "simhash-found")
+    keep = found.filter(F.col("_keep").eqNullSafe(F.col("component_id"))).groupBy("_keep").agg(F.count(F.lit(1)).alias("_n"))
+    n, kept = keep["_n"], keep["_keep"]
+    place = "_place"
+    while place in docs.columns:
+        place += "_"
+    order = Window.partitionBy(docs[id_col]).orderBy(F.xxhash64(*[docs[f"`{c}`"].cast("string") for c in docs.columns]))
+    rows = docs.join(keep, docs[id_col].eqNullSafe(kept))  # texts are shuffled once; both branches read that exchange
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    single = rows.filter((n == 1) | kept.isNull()).select(*own)
+    first = rows.filter((n > 1) & kept.isNotNull()).select(*own, F.row_number().over(order).alias(place)).filter(F.col(place) == 1).drop(place)
     return single.unionByName(first)
