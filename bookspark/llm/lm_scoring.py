@@ -1,19 +1,21 @@
 """Language-model scores by a weighted backoff automaton.
 
 Method.  A bigram model with absolute discounts is an automaton.  Its states are
-the histories: the start of a text, each of the ``state_words`` most frequent
-training words, and the empty history.  A state has an arc for every frequent
-word that followed it in training, weighted with the discounted log-probability,
-and one failure arc, weighted so that probabilities sum to one, to the empty
-history, whose arcs are the unigrams.  One left-to-right pass over a text carries
-the state and adds the weights.  The vocabulary is that of the base model: all
-training tokens, and one more for all others.
-
-Scale.  Counts cover all training text.  Unigrams are a table of any size; the
-``local_words`` most frequent and the arcs between frequent words (at most
-``state_words`` squared) are bounded by these parameters and broadcast.  A rare
-word takes the failure arc in its task and gets its unigram weight by a join on
-the word; a document moves only its rare words.  Texts are not shuffled.
+the histories: the start of a text, every training word, and the empty history.
+A state has an arc for every word that followed it in training, weighted with the
+discounted log-probability, and one failure arc, weighted so that probabilities
+sum to one, to the empty history, whose arcs are the unigrams.  The vocabulary is
+that of the base model: all training tokens, and one more for all others.
+``state_words``, if given, restricts histories and arcs to that many words.
+
+Scale.  Counts cover all training text and every pair of words.  The arcs between
+the ``cache_words`` most frequent words are counted first and broadcast, only as a
+cache: every other pair of a document leaves its task once, folded, and meets its
+count in one shuffle, by word and, for frequent words, by history too.  So a key has
+no more rows than a word outside the cache has occurrences.  A score is taken apart
+so that a pair needs its history's failure weight only where training lacks the pair:
+``log p = -log c(h) + log(c(h, w) - d)`` or ``-log c(h) + failure(h) + log p(w)``.
+Rare words are joined by 63 bits of their hash.  Texts are not shuffled.
 
 Cases.  A null or empty text is the end token alone; a null id counts as the
 empty text when rows are dealt to training; repeated rows train and score like
@@ -25,19 +27,24 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookspark.llm.text import to_bytes, word_pieces
-from bookspark.session import write_and_reload
+from bookspark.session import local_df, write_and_reload
 
 STATE_WORDS = 4_096
+CACHE_WORDS = 4_096
 LOCAL_WORDS = 65_536
+KEYS_HELD = 200_000
+PAIRS_AT_ONCE = 250_000
 END = b"\n"  # no word holds it
 EMPTY = -1
+START = 1 << 40  # key of the history at the start of a text
 
 
 @dataclass
@@ -212,9 +219,164 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", state_words: int = STATE_WORDS,
-                    local_words: int = LOCAL_WORDS) -> DataFrame:
-    """Trains on the rows that are not held out and scores all."""
+# --- all pairs ------------------------------------------------------------------
+
+class WordKeys(dict):
+    """The key of a word: its rank if it is local, else a negative hash."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        self.refill()
+
+    def refill(self):
+        self.clear()
+        self.update((w, i) for i, w in enumerate(self.words))
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= len(self.words) + KEYS_HELD:
+            self.refill()
+        key = self[word] = ~(int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 1)
+        return key
+
+
+def _pair_batches(batches, model, id_type: pa.DataType):
+    """A row for each distinct pair of a text that is not a cached arc, and one with
+    the rest of the text: tokens, weights of its local words, counts of its cached arcs."""
+    m = model.value
+    s, keys, codes, arc_counts, base, history = m["n_states"], WordKeys(m["words"]), m["arc_codes"], m["arc_counts"], m["base"], m["history"]
+    counts = pa.list_(pa.int64())
+    doc_type = pa.struct([("id", id_type), ("n_tokens", pa.int64()), ("n_local", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
+                          ("arc_c", counts), ("arc_n", counts)])
+    names = ["_row", "h", "w", "times", "held", "doc"]
+    parts: list[tuple[int, bool, np.ndarray, np.ndarray]] = []
+
+    def folded():
+        row, held = (np.repeat([p[i] for p in parts], [len(p[2]) for p in parts]) for i in (0, 1))
+        h, w = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+        order = np.lexsort((w, h, row))
+        row, held, h, w = row[order], held[order], h[order], w[order]
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
+        times = np.diff(np.append(first, len(row)))
+        parts.clear()
+        return pa.RecordBatch.from_arrays([*(pa.array(x[first]) for x in (row, h, w)), pa.array(times, pa.int64()), pa.array(held[first]),
+                                           pa.nulls(len(first), doc_type)], names)
+
+    waiting = 0
+    for batch in batches:
+        docs = []
+        for row, id_, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            tokens = local = 0
+            base_sum, score, state, cached = 0.0, m["start"], START, []
+            for words in [*word_pieces(to_bytes(text.as_py())), [END]]:
+                if not words:
+                    continue
+                w = np.fromiter(map(keys.__getitem__, words), np.int64, len(words))
+                h = np.concatenate([[state], w[:-1]])
+                known = w[w >= 0]
+                base_sum += float(base[known].sum())
+                score += float(history[known].sum())
+                tokens, local, state = tokens + len(w), local + len(known), int(w[-1])
+                code = np.where((w >= 0) & (w < s) & ((h == START) | (h >= 0) & (h < s)), np.where(h == START, s, h) * s + w, -1)
+                at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
+                arc = (code >= 0) & (codes[at] == code) if len(codes) else np.zeros(len(code), bool)
+                cached.append(arc_counts[at[arc]])
+                if not arc.all():
+                    parts.append((row, held, h[~arc], w[~arc]))
+                    waiting += len(parts[-1][2])
+                if waiting > PAIRS_AT_ONCE:  # a text folded in pieces only has more rows
+                    yield folded()
+                    waiting = 0
+            arc_c, arc_n = np.unique(np.concatenate(cached), return_counts=True)
+            docs.append({"id": id_, "n_tokens": tokens, "n_local": local, "base": base_sum, "score": score, "arc_c": arc_c, "arc_n": arc_n})
+        none = pa.nulls(batch.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), none, none, none, batch.column(2), pa.array(docs, doc_type)], names)
+    if parts:
+        yield folded()
+
+
+def _score_all_pairs(docs: DataFrame, text_col: str, id_col: str, local_words: int, cache_words: int) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_type
+    spark = docs.sparkSession
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), docs[id_col].alias("_id"), held_out(docs[id_col]).alias("_held"),
+                       docs[text_col].cast("string").alias("_text"))
+    texts = docs.filter(~held_out(docs[id_col])).select(docs[text_col].cast("string").alias("_text"))
+    unigrams = write_and_reload(texts.mapInArrow(_count_words, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "lm-unigrams")
+    n, v, ones, twos, ends = unigrams.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2),
+                                          F.max(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
+    n, ends = n or 0, ends or 0
+    d = discount(ones or 0, twos or 0)
+    frequent = [(bytes(r["word"]), r["c"]) for r in unigrams.orderBy(F.desc("c"), "word").limit(local_words).collect()]
+    if ends and END not in {w for w, _ in frequent}:
+        frequent.append((END, ends))
+    words, counts = [w for w, _ in frequent], np.array([c for _, c in frequent], np.int64)
+    s = min(cache_words, len(words))
+    code = count = np.empty(0, np.int64)
+    if s:
+        arcs = (texts.mapInArrow(partial(_count_arcs, words=spark.sparkContext.broadcast(words[:s]), n_states=s), "code bigint, c bigint")
+                .groupBy("code").agg(F.sum("c").alias("c")).toArrow())
+        code, count = arcs["code"].to_numpy(), arcs["c"].to_numpy()
+        order = np.argsort(code)
+        code, count = code[order], count[order]
+    history = -np.log10(np.maximum(counts, 1))
+    history[[w == END for w in words]] = 0  # the end is no history
+    shipped = spark.sparkContext.broadcast({
+        "n_states": s, "words": words, "arc_codes": code, "arc_counts": count, "base": np.log10((counts + 1) / (n + v + 1)),
+        "history": history, "start": -_log10(ends) if ends else 0.0})
+    id_type = rows.schema["_id"].dataType
+    flat = rows.mapInArrow(
+        partial(_pair_batches, model=shipped, id_type=to_arrow_type(id_type)),
+        "_row bigint, h bigint, w bigint, times bigint, held boolean, doc struct<id: " + id_type.simpleString()
+        + ", n_tokens: bigint, n_local: bigint, base: double, score: double, arc_c: array<bigint>, arc_n: array<bigint>>")
+
+    # Counts of the pairs, and of the words that are not local, where they meet.
+    group = F.when(F.col("w").isNull(), F.col("_row")).when(F.col("w") < 0, F.lit(0)).otherwise(F.col("h"))
+    trained = F.when(F.col("held"), F.lit(0)).otherwise(F.col("times"))
+    local = F.broadcast(local_df(spark, list(enumerate(counts.tolist())), "w bigint, c_local bigint"))
+    pairs = write_and_reload(
+        flat.withColumn("g", group).repartition("w", "g").sortWithinPartitions("w", "g", "h")
+        .withColumn("c_w", F.sum(trained).over(Window.partitionBy("w", "g"))).withColumn("c", F.sum(trained).over(Window.partitionBy("w", "g", "h")))
+        .join(local, "w", "left")
+        .select("_row", "h", "times", "held", "c", F.coalesce("c_local", "c_w").alias("c_w"), (F.col("w") < 0).alias("rare"), "doc"), "lm-pairs")
+    learnt = pairs.filter("NOT held AND doc IS NULL")
+    once, twice = learnt.agg(F.count_if(F.col("c") == 1), F.sum(F.when(F.col("c") == 2, F.col("times")))).first()
+    d2 = discount((once or 0) + int((count == 1).sum()), (twice or 0) // 2 + int((count == 2).sum()))
+
+    # Failure weights, without the count of the history: a pair's occurrences share its one place.
+    state, word = (code // s, code % s) if s else (code, code)
+    kinds, used = np.bincount(state, minlength=s + 1), np.bincount(state, (counts[word] - d) / max(n, 1), s + 1)
+    cached = local_df(spark, [(START if h == s else h, float(kinds[h]), float(used[h])) for h in range(s + 1) if kinds[h]], "h bigint, kinds double, used double")
+    share = F.col("times") / F.col("c")
+    histories = (learnt.select("h", share.alias("kinds"), (share * (F.col("c_w") - d) / F.lit(float(max(n, 1)))).alias("used")).unionByName(cached)
+                 .groupBy("h").agg(F.sum("kinds").alias("kinds"), F.sum("used").alias("used"))
+                 .select("h", F.log10(F.lit(d2) * F.col("kinds") / F.greatest(1 - F.col("used"), F.lit(1e-300))).alias("failure")))
+    histories = write_and_reload(histories, "lm-histories")
+
+    times, c_w = F.col("times"), F.col("c_w").cast("double")
+    p_word = F.when(c_w > 0, F.log10((c_w - d) / F.lit(float(max(n, 1))))).otherwise(F.lit(_log10(d * v / n) if n else 0.0))
+    rare = lambda x: F.when(F.col("rare"), x).otherwise(F.lit(0))
+    met = pairs.filter("doc IS NULL")
+    parts = ["_row", rare(F.when(c_w > 0, times).otherwise(0)).alias("known"),
+             rare(times * F.log10((c_w + 1) / F.lit(float(n + v + 1)))).alias("base")]
+    seen = met.filter("c > 0").select(*parts, (times * F.log10(F.col("c") - d2) + rare(-times * F.log10(c_w))).alias("score"))
+    new = met.filter("c = 0")
+    weight = (times * (p_word + F.coalesce("failure", F.lit(0.0))) + rare(F.when(c_w > 0, -times * F.log10(c_w)).otherwise(0))).alias("score")
+    frequent_new = new.filter("h >= 0").join(F.broadcast(histories.filter("h >= 0")), "h", "left").select(*parts, weight)
+    rare_new = new.filter("h < 0").join(histories.filter("h < 0"), "h", "left").select(*parts, weight)
+    sums = (seen.unionByName(frequent_new).unionByName(rare_new).groupBy("_row")
+            .agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score")))
+    arc_score = F.aggregate(F.zip_with("doc.arc_c", "doc.arc_n", lambda c, k: k * F.log10(c - F.lit(d2))), F.lit(0.0), lambda a, x: a + x)
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
+    return (pairs.filter("doc IS NOT NULL").select("_row", "doc").join(sums, "_row", "left")
+            .select(F.col("doc.id").alias(id_col), held_out(F.col("doc.id")).alias("held_out"), F.col("doc.n_tokens").alias("n_tokens"),
+                    (F.col("doc.n_local") + zero("known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+                    (F.col("doc.base") + zero("base")).alias("base_score"), (F.col("doc.score") + arc_score + zero("score")).alias("score")))
+
+
+def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", state_words: int | None = None,
+                    local_words: int = LOCAL_WORDS, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Trains on the rows that are not held out and scores all; over all pairs of words, or over those of ``state_words`` words."""
+    if state_words is None:
+        return _score_all_pairs(docs, text_col, id_col, local_words, cache_words)
     model = train(docs.filter(~held_out(docs[id_col])), text_col, state_words, local_words)
     return (score(docs, model, text_col, id_col)
             .select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), "n_tokens", "n_known",

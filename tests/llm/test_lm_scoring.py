@@ -91,3 +91,22 @@ def test_held_out_documents_score_better_than_the_base(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     base, own = LM.score_documents(docs).filter("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert own > base
+
+
+@pytest.mark.parametrize("cache_words, l_words", [(0, 0), (3, 5), (6, 40), (4096, 65536)])
+def test_all_pairs_are_arcs_whatever_the_cache_holds(spark, monkeypatch, cache_words, l_words):
+    monkeypatch.setattr(LM, "PAIRS_AT_ONCE", 50)
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rnd.choice(words[:6] if rnd.random() < 0.5 else words) for _ in range(rnd.choice([1, 5, 40])))) for i in range(60)]
+    rows += [(100, None), (101, ""), (None, "w1 w2"), (102, "new w1\x0bwords new"), (7, "w1 w59"), (7, "w1 w59"), (200, "rare pair"), (201, "rare pair"), (205, "rare pair x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit("clash"))
+    got = sorted((tuple(r) for r in LM.score_documents(df, local_words=l_words, cache_words=cache_words).collect()), key=_key)
+    for a, b in zip(got, sorted(_brute(rows, 10**6, 10**6), key=_key), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+    held = [r for r in rows if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 == 2]
+    assert held and LM.score_documents(df.filter(held_out_only(df)), cache_words=cache_words).agg(F.sum("n_known")).first()[0] == 0
+
+
+def held_out_only(df):
+    return LM.held_out(df["doc_id"])
