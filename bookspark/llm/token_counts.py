@@ -6,7 +6,11 @@ form a trie with one root for word starts and one for continuations.  Where no
 arc fits, a failure link leads to the state that is left after the pieces which
 greedy matching would take now, and the link carries how many those are.  One
 pass over a word adds these counts; no piece is ever built, and the work is
-linear in the word's length.  A word that cannot be covered is one unknown token.
+linear in the word's length.  With ``cover``, a word whose first character starts no
+piece begins with the bare start mark and goes on with continuation pieces, and a
+character that no piece covers is its bytes, so every word has its true length; an
+unknown word is then one with a character that no piece holds.  Without ``cover`` a
+word that cannot be covered is one unknown token.
 
 Scale: one projection over the scan, no shuffle.  The automaton is built by the
 driver from one vocabulary file, whose size bounds it, and broadcast; a task's
@@ -50,17 +54,32 @@ def load_pieces(path: str, start_mark: str = "▁") -> tuple[set[str], set[str]]
     return starts - {""}, more - {""}
 
 
+def check_cover(path: str, start_mark: str = "▁") -> None:
+    """Raises if the vocabulary lacks the bare start mark or one of the 256 bytes."""
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = range(model.get_piece_size())
+    if sum(map(model.is_byte, ids)) != 256 or not any(model.id_to_piece(i) == start_mark for i in ids):
+        raise ValueError(f"{path} has no bare start mark or not all 256 bytes")
+
+
+def _n_bytes(char: str) -> int:
+    return len(char.encode("utf-8", "surrogatepass"))
+
+
 class LongestMatch:
-    """The automaton: arcs by state and character, a failure state and its piece count by state."""
+    """The automaton: arcs by state and character, a failure state and its piece count by state.
+    If the start state has a failure link (the bare start mark), every word is covered."""
 
     def __init__(self, arcs: list[dict[str, int]], fail: list[int | None], popped: list[int]):
         self.arcs, self.fail, self.popped = arcs, fail, popped
 
     @classmethod
-    def build(cls, starts: Iterable[str], more: Iterable[str]) -> LongestMatch:
+    def build(cls, starts: Iterable[str], more: Iterable[str], cover: bool = False) -> LongestMatch:
         arcs: list[dict[str, int]] = [{}, {}]
-        ends = set()
-        for root, pieces in ((START, starts), (MORE, more)):
+        ends = {}
+        starts, more = set(starts), set(more)
+        alone = {char for piece in starts | more for char in piece} - more if cover else set()  # only inside longer pieces
+        for root, pieces in ((START, starts), (MORE, more | alone)):
             for piece in pieces:
                 state = root
                 for char in piece:
@@ -68,16 +87,18 @@ class LongestMatch:
                         arcs[state][char] = len(arcs)
                         arcs.append({})
                     state = arcs[state][char]
-                ends.add(state)
+                ends[state] = _n_bytes(piece) if root == MORE and piece in alone else 1
         fail: list[int | None] = [None] * len(arcs)
         popped = [0] * len(arcs)
+        if cover:
+            fail[START], popped[START] = MORE, 1
         queue = deque([START, MORE])
         while queue:
             state = queue.popleft()
             for char, below in arcs[state].items():
                 queue.append(below)
                 if below in ends:
-                    fail[below], popped[below] = MORE, 1
+                    fail[below], popped[below] = MORE, ends[below]
                     continue
                 count, at = popped[state], fail[state]
                 while at is not None and char not in arcs[at]:
@@ -102,6 +123,21 @@ class LongestMatch:
         return n
 
 
+    def cover(self, word: str) -> tuple[int, bool]:
+        """Pieces of the word, and whether no piece holds one of its characters: that one is its bytes."""
+        arcs, fail, popped, state, n, unknown = self.arcs, self.fail, self.popped, START, 0, False
+        for char in word:
+            while char not in arcs[state] and state != MORE:
+                n, state = n + popped[state], fail[state]
+            if char in arcs[state]:
+                state = arcs[state][char]
+            else:
+                n, unknown = n + _n_bytes(char), True
+        while state != MORE:
+            n, state = n + popped[state], fail[state]
+        return n, unknown
+
+
 class WordCounts(dict):
     """Tokens of a word, worked out once per task; an unknown word also adds UNKNOWN."""
 
@@ -111,8 +147,13 @@ class WordCounts(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        n = self.automaton.count(word.decode("utf-8", "surrogatepass"))
-        value = 1 + UNKNOWN if n is None else n
+        text = word.decode("utf-8", "surrogatepass")
+        if self.automaton.fail[START] is not None:
+            n, unknown = self.automaton.cover(text)
+            value = n + UNKNOWN * unknown
+        else:
+            n = self.automaton.count(text)
+            value = 1 + UNKNOWN if n is None else n
         self[word] = value
         return value
 
@@ -133,17 +174,21 @@ def _count_batches(batches, automaton, lower: bool, text_at: int):
                                          [*batch.schema.names, *COUNTS])
 
 
-def with_token_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lower: bool = False) -> DataFrame:
+def with_token_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lower: bool = False,
+                      cover: bool = False) -> DataFrame:
     """All columns, and ``n_words, n_tokens, n_unknown`` of every row's whole text;
     columns of these names are replaced."""
-    built = LongestMatch.build(*load_pieces(vocabulary_path))
+    if cover:
+        check_cover(vocabulary_path)
+    built = LongestMatch.build(*load_pieces(vocabulary_path), cover)
     automaton = docs.sparkSession.sparkContext.broadcast((built.arcs, built.fail, built.popped))
     docs = docs.drop(*COUNTS)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
     return docs.mapInArrow(partial(_count_batches, automaton=automaton, lower=lower, text_at=docs.columns.index(text_col)), schema)
 
 
-def token_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text", id_col: str = "doc_id", lower: bool = False) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text", id_col: str = "doc_id", lower: bool = False,
+                 cover: bool = False) -> DataFrame:
     """``(id_col, n_words, n_tokens, n_unknown)`` of every row's whole text."""
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
-    return with_token_counts(rows, vocabulary_path, "_text", lower).select(F.col("_id").alias(id_col), *COUNTS)
+    return with_token_counts(rows, vocabulary_path, "_text", lower, cover).select(F.col("_id").alias(id_col), *COUNTS)

@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with token counts, length bucket and batch."""
-    return pack.pack(with_token_counts(docs, VOCABULARY), "n_tokens", order_by=["doc_id"])
+    return pack.pack(with_token_counts(docs, VOCABULARY, cover=True), "n_tokens", order_by=["doc_id"])
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", packing)]

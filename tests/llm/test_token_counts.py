@@ -42,3 +42,41 @@ def test_documents_with_nulls_unknown_and_long_words(spark):
         want.append((d, len(words), sum(1 if c is None else c for c in counts), counts.count(None)))
     assert got == sorted(want, key=str)
     assert TC.token_counts(spark.createDataFrame([], df.schema), PATH).count() == 0
+
+
+def _covered(word, starts, more):
+    """Greedy matching where the bare start mark and bytes stand in."""
+    n, at, pieces = 0, 0, starts
+    while at < len(word):
+        end = next((e for e in range(len(word), at, -1) if word[at:e] in pieces), None)
+        if end is not None:
+            n, at = n + 1, end
+        elif pieces is starts:
+            n += 1
+        else:
+            n, at = n + len(word[at].encode()), at + 1
+        pieces = more
+    return n
+
+
+def test_covering_automaton_equals_plain_matching():
+    rnd = random.Random(5)
+    piece = lambda: "".join(rnd.choice("abé") for _ in range(rnd.randint(1, 5)))
+    for _ in range(300):
+        starts, more = {piece() for _ in range(4)}, {piece() for _ in range(6)}
+        machine = TC.LongestMatch.build(starts, more, cover=True)
+        held = {c for p in starts | more for c in p}
+        for _ in range(30):
+            word = "".join(rnd.choice("abé\U0001f642" if rnd.random() < 0.1 else "abé") for _ in range(rnd.randint(1, 14)))
+            assert machine.cover(word) == (_covered(word, starts, more), not set(word) <= held), (starts, more, word)
+
+
+def test_queries_give_unstartable_words_their_length(spark, tmp_path):
+    from bookspark.llm.queries import QUERIES
+    words = ["9000426309966109$$$", "170.116.163.254###", "ñciónjaciónciónmentedo", "\U00013000", "The", "", None]
+    rows = list(enumerate(words))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_words"], r["n_tokens"], r["n_unknown"]) for r in QUERIES["op9_token_counts"](spark, str(tmp_path)).collect()}
+    assert got == {0: (1, 19, 0), 1: (1, 17, 0), 2: (1, 8, 0), 3: (1, 5, 1), 4: (1, 1, 0), 5: (0, 0, 0), 6: (0, 0, 0)}
+    packed = {r["doc_id"]: r["n_tokens"] for r in QUERIES["op5_packing"](spark, str(tmp_path)).select("doc_id", "n_tokens").collect()}
+    assert packed[0] == 19
