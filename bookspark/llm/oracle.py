@@ -51,4 +51,51 @@ ORACLE: dict[str, str] = {
                CAST(coalesce(len(removed), 0) AS INTEGER) AS n_removed, coalesce(removed, []::INTEGER[]) AS removed_lines
         FROM documents LEFT JOIN gone USING (doc_id)
     """,
+    "op12_filter_audit": """
+        WITH d AS (
+          SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                 regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS words,
+                 min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+          FROM documents
+        ), l AS (
+          SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+          FROM labels GROUP BY doc_id
+        ), f AS (
+          SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+                   len(words) < 200,
+                   100 * len(list_distinct(words)) < 50 * len(words),
+                   100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+                   regexp_matches(text, '[#$%&*|]'),
+                   coalesce(doc_id > first, false)] AS fails
+          FROM d LEFT JOIN l USING (doc_id)
+        ), c AS (
+          SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails
+        ), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (
+          SELECT a.x || b.x || c.x || d.x || e.x AS o
+          FROM letters a, letters b, letters c, letters d, letters e
+          WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), s AS (
+          SELECT o AS filter_order, step, strpos('ABCDE', substr(o, step, 1)) AS mine,
+                 list_transform(range(1, step), lambda k: strpos('ABCDE', substr(o, k, 1))) AS before
+          FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)
+        ), m AS (
+          SELECT part, filter_order, step, mine, n, good, toxic, fails[mine] AS bad,
+                 len(list_filter(before, lambda k: fails[k])) > 0 AS gone,
+                 len(list_filter(fails, lambda v: v)) = 1 AS alone
+          FROM c, s
+        ), t AS (
+          SELECT part, filter_order, step, mine,
+                 CAST(sum(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END) AS BIGINT) AS kept,
+                 CAST(sum(CASE WHEN NOT gone AND bad THEN n ELSE 0 END) AS BIGINT) AS removed,
+                 CAST(sum(CASE WHEN gone AND bad THEN n ELSE 0 END) AS BIGINT) AS redundant,
+                 CAST(sum(CASE WHEN bad AND alone THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+                 CAST(sum(CASE WHEN NOT gone AND bad THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+                 CAST(sum(CASE WHEN NOT gone AND bad THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+          FROM m GROUP BY part, filter_order, step, mine
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, mine) AS BIGINT) AS shapley
+        FROM t
+    """,
 }

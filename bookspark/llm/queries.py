@@ -5,7 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookspark.llm import bpe, fingerprints, line_dedup, lm_scoring, packing, quality, simhash, token_counts, topk, warc
+from bookspark.llm import (bpe, filter_audit, fingerprints, line_dedup, lm_scoring, packing, quality, simhash, token_counts,
+                           token_store, topk, warc, whitening)
 from bookspark.session import write_and_reload
 
 
@@ -61,6 +62,20 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=4)
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = token_store.store_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return stored.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_warc_conversion": op2_warc_conversion,
@@ -72,4 +87,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_token_output": op13_token_output,
 }
