@@ -39,6 +39,7 @@ from __future__ import annotations
 import io
 import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import partial
@@ -55,13 +56,16 @@ from bookspark.session import BROADCAST_MAX_ROWS, local_df, scratch_path, write_
 SHARD_BYTES = 32 << 20
 SHARD_DOCS = 1 << 20
 BLOCK_CHARS = 1 << 20
-PIECES_HELD = 300_000
+PIECES_HELD = 80_000
+HELD_CHARS = 40
 MARK = b"IDSHARD1"
 # The code points of Unicode's White_Space property.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WORD_GAP = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-WIDE_GAPS = [c + " " for c in SPACE]
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"  # Latin letters, whose class never changed
+PLAIN = re.compile(f"[!-&(-~{LETTERS}]+")  # these, digits and printable marks, no apostrophe
+RUNS = re.compile(f"[{LETTERS}]+|[0-9]+|[^0-9{LETTERS}]+")
 
 
 # --- minimal perfect hash ---------------------------------------------------------
@@ -130,51 +134,100 @@ def find(index: dict[str, np.ndarray], keys: list[bytes]) -> np.ndarray:
 
 # --- encoding -----------------------------------------------------------------------
 
-class PieceIds(dict):
-    """Id bytes of a piece of text, as the library encodes it; a bounded cache."""
+class Held(dict):
+    """A bounded cache in two generations, so that what is used again stays."""
 
-    def __init__(self, tokenizer, dtype: np.dtype, lead: str = "", words: dict | None = None):
-        self.tokenizer, self.dtype, self.lead = tokenizer, dtype, lead
-        self.words = {} if words is None else words  # ids of single pre-tokens
+    def __init__(self, first=()):
+        super().__init__(first)
+        self.old = {}
 
-    def __missing__(self, piece: str) -> bytes:
+    def hold(self, key: str, value: bytes) -> bytes:
         if len(self) >= PIECES_HELD:
+            self.old = dict(self)
             self.clear()
-        out = []
-        for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.lead + piece):
-            ids = self.words.get(word)
-            if ids is None:
-                if len(self.words) >= PIECES_HELD:
-                    self.words.clear()
-                ids = self.words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(word)], self.dtype).tobytes()
-            out.append(ids)
-        ids = self[piece] = b"".join(out)
-        return ids
+        self[key] = value
+        return value
+
+
+class WordIds(Held):
+    """Id bytes of a pre-token, by the library's model."""
+
+    def __init__(self, tokenizer, dtype: np.dtype, single: dict[str, int]):
+        code = "HI"[dtype.itemsize // 4]
+        super().__init__()
+        self.single = {word: array(code, [i]).tobytes() for word, i in single.items()}
+        self.tokenize, self.code = tokenizer.model.tokenize, code
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.single.get(word) or self.old.get(word) or array(self.code, [t.id for t in self.tokenize(word)]).tobytes()
+        return self.hold(word, ids) if len(word) <= HELD_CHARS else ids
+
+
+class CharNames(dict):
+    """How the library writes the bytes of a character."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.cut = tokenizer.pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, char: str) -> str:
+        name = self[char] = "".join(word for word, _ in self.cut(char))
+        return name
+
+
+class PieceIds(Held):
+    """Id bytes of a piece of text between spaces, with ``lead`` before it."""
+
+    def __init__(self, tokenizer, words: WordIds, lead: str = ""):
+        super().__init__()
+        self.cut, self.words, self.lead = tokenizer.pre_tokenizer.pre_tokenize_str, words, lead
+        self.names = CharNames(tokenizer)
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            if PLAIN.fullmatch(piece):
+                # Runs of letters, of digits and of marks are pre-tokens; a space goes with the first.
+                runs = RUNS.findall(piece)
+                if not piece.isascii():
+                    runs = ["".join(map(self.names.__getitem__, run)) for run in runs]
+                if self.lead:
+                    runs[0] = self.names[self.lead] + runs[0]
+            else:
+                runs = [word for word, _ in self.cut(self.lead + piece)]
+            ids = b"".join([self.words[run] for run in runs])
+        return self.hold(piece, ids) if len(piece) <= HELD_CHARS else ids
+
+
+def single_words(tokenizer) -> dict[str, int]:
+    """The vocabulary's words that the model gives their own id."""
+    return {w: i for w, i in tokenizer.get_vocab(with_added_tokens=False).items() if [t.id for t in tokenizer.model.tokenize(w)] == [i]}
 
 
 class Encoder:
     """Id bytes of whole texts, equal to those of ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, single: dict[str, int] | None = None):
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
         self.dtype = id_type(self.tokenizer.get_vocab_size())
         cut = self.tokenizer.pre_tokenizer
         self.by_piece = isinstance(cut, pre_tokenizers.ByteLevel) and not cut.add_prefix_space and self.tokenizer.normalizer is None
-        self.segments = PieceIds(self.tokenizer, self.dtype)
-        self.after_space = PieceIds(self.tokenizer, self.dtype, " ", self.segments.words)
+        words = WordIds(self.tokenizer, self.dtype, single or {})
+        self.segments = PieceIds(self.tokenizer, words)
+        self.after_space = PieceIds(self.tokenizer, words, " ")
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        return b"".join(self._block(b) for b in blocks(text))
+        return b"".join(map(self._block, blocks(text)))
 
     def _block(self, text: str) -> bytes:
-        if any(gap in text for gap in WIDE_GAPS):
+        if any(c in text and c + " " in text for c in SPACE):
             return b"".join(map(self.segments.__getitem__, SEGMENT.findall(text)))
         first, *rest = text.split(" ")
-        # A last space that nothing follows is a piece " ", as is the space of an empty rest.
+        # Only the last may be empty: a space that nothing follows.
         return (self.segments[first] if first else b"") + b"".join(map(self.after_space.__getitem__, rest))
 
 
@@ -218,8 +271,8 @@ def shard_index(shard: int, keys: list[bytes], counts: list[int], width: int) ->
     return out.getvalue()
 
 
-def _write_batches(batches, tokenizer, separator: bytes):
-    encoder, keys, counts = Encoder(tokenizer.value), [], []
+def _write_batches(batches, tokenizer):
+    encoder, keys, counts = Encoder(*tokenizer.value), [], []
     width = encoder.dtype.itemsize
     for batch in batches:
         out, held = [], 0
@@ -246,7 +299,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text_col:
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer = file.read()
-    separator = np.array([end_id], id_type(Tokenizer.from_str(tokenizer).get_vocab_size())).tobytes()
+    library = Tokenizer.from_str(tokenizer)
+    separator = np.array([end_id], id_type(library.get_vocab_size())).tobytes()
     if any(b > 127 for b in separator):
         raise ValueError(f"end id {end_id} has a byte above 127")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
@@ -254,9 +308,10 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text_col:
     size, count = rows.agg(F.sum(F.octet_length("_text").cast("long")), F.count(F.lit(1))).first()
     shards = max(1, -(-(size or 0) // shard_bytes), -(-count // shard_docs))
     order = [F.asc_nulls_last("_id"), F.asc("_th")]
+    shipped = spark.sparkContext.broadcast((tokenizer, single_words(library)))  # the vocabulary: its file bounds it
     payload = (rows.withColumn("_th", F.xxhash64("_text")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
                .select(F.col("_id").cast("string").alias("_key"), "_text")
-               .mapInArrow(partial(_write_batches, tokenizer=spark.sparkContext.broadcast(tokenizer), separator=separator), "value binary")
+               .mapInArrow(partial(_write_batches, tokenizer=shipped), "value binary")
                .select(F.col("value").cast("string").alias("value")))
     folder = folder or scratch_path(spark, "token-store")
     payload.write.option("lineSep", separator.decode("ascii")).option("maxRecordsPerFile", 0).option("compression", "none").text(folder)
