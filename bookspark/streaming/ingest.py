@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from bookspark.plans.load import load_sales
+from bookspark.plans.load import load_files
 from bookspark.session import scratch_path
-from bookspark.sources import files
 
 
 def _run_batch(out_dir: str):
@@ -23,12 +22,8 @@ def _run_batch(out_dir: str):
         paths = [r["path"] for r in batch.select("path").collect()]
         if not paths:
             return
-        prof = files.file_profile(spark, paths)
-        prof.write.mode("overwrite").parquet(f"{out_dir}/profile/batch={batch_id}")
-        raw = files.read_csv_files(spark, prof)
-        if not [c for c in raw.columns if not c.startswith("_")]:
-            return
-        load_sales(raw, n_files=len(paths), headers=files.csv_headers(prof), out_dir=f"{out_dir}/load/batch={batch_id}")
+        done = load_files(spark, paths, out_dir=f"{out_dir}/load/batch={batch_id}")
+        done.outcomes.write.mode("overwrite").parquet(f"{out_dir}/outcomes/batch={batch_id}")
     return run
 
 
