@@ -492,6 +492,109 @@ def q_csv_roundtrip(spark, sf):
         F.sum("rows").cast("bigint").alias("rows"))
 
 
+# ------------------------------------------------------------- files as loaded
+
+CLEAN_COLUMNS = ["order_id", "date", "product", "qty", "unit_price", "total", "vendor", "channel", "payment_method"]
+
+
+def _raw_cells():
+    return [F.col(f"`{c}`") for c in T.RAW_COLUMNS]
+
+
+@register("mixed_case_load")
+def q_mixed_case_load(spark, sf):
+    """S1, M8, C15 over files whose headers differ in letter case, one of them holding
+    both ``total`` and ``TOTAL``: every file loads as it would alone."""
+    from bookspark.plans.load import load_files
+    from bookspark.session import scratch_path
+    from bookspark.sources import exports as X
+    folder = scratch_path(spark, "cases")
+    note = F.concat(F.lit("note "), (F.floor(F.col("_row") / 2) % 3).cast("string"))
+    X.write_csvs(T.sales_raw(spark, sf), [
+        X.Layout(T.RAW_COLUMNS, _raw_cells()), X.Layout([c.upper() for c in T.RAW_COLUMNS], _raw_cells(), ";"),
+        X.Layout([*(c.lower() for c in T.RAW_COLUMNS), "TOTAL"], [*_raw_cells(), note], "\t")], folder)
+    clean = load_files(spark, f"{folder}/*/*.txt").loaded.clean
+    return clean.select(F.regexp_extract("_file", r"shop=([^/]+)/", 1).alias("shop"), *CLEAN_COLUMNS)
+
+
+@register("xlsx_load")
+def q_xlsx_load(spark, sf):
+    """S4-S11, C15 over workbooks with typed dates and numbers, a title and a blank row
+    above the header, named as if they were text files."""
+    from bookspark.operators import cleaning as C
+    from bookspark.plans.load import load_files
+    from bookspark.session import scratch_path
+    from bookspark.sources import exports as X
+    folder = scratch_path(spark, "workbooks")
+    raw = T.sales_raw(spark, sf)
+    day = C.parse_dates(F.col("Date"), X.shop_number(F.col("_file")) % 2 == 0)
+    X.write_workbooks(raw, T.RAW_COLUMNS, day, "order id", ["order id", "Qty", "Unit Price (NGN)", "Total"], folder)
+    clean = load_files(spark, f"{folder}/*/*.txt").loaded.clean
+    order = F.regexp_replace("order_id", r"\.0$", "").alias("order_id")
+    return clean.select(F.regexp_extract("_file", r"book=(.+)_\d+/", 1).alias("shop"), order, *CLEAN_COLUMNS[1:])
+
+
+@register("csv_values")
+def q_csv_values(spark, sf):
+    """S1-S3 by value: line ends, delimiters and doubled quotes in quoted fields, in
+    UTF-8, Windows-1252 and UTF-8 with a byte order mark."""
+    from bookspark.session import scratch_path
+    from bookspark.sources import exports as X
+    from bookspark.sources import files as FS
+    folder = scratch_path(spark, "values")
+    key = F.concat_ws("-", "`order id`", F.col("_row").cast("string"))
+    text = F.concat(F.col("`Product `"), F.lit('\n"x, y; z"\t\u20ac \u201c\u00e9\u201d \u2013\r\n'), F.col("Vendor"))
+    cells = [key, text, F.col("Qty")]
+    X.write_csvs(T.sales_raw(spark, sf), [X.Layout(["key", "text", "qty"], cells), X.Layout(["key", "text", "qty"], cells, ";", "windows-1252"),
+                                          X.Layout(["key", "text", "qty"], cells, "\t", "utf-8-sig")], folder)
+    prof = FS.file_profile(spark, f"{folder}/*/*.txt")
+    kinds = prof.select(F.col("path").alias("_file"), "encoding", "delimiter")
+    return FS.read_csv_cells(spark, prof).join(kinds, "_file").select(
+        F.regexp_extract("_file", r"shop=([^/]+)/", 1).alias("shop"), F.get("_cells", F.lit(0)).alias("key"), F.get("_cells", F.lit(1)).alias("text"),
+        F.get("_cells", F.lit(2)).alias("qty"), "delimiter", "encoding")
+
+
+@register("load_outcomes")
+def q_load_outcomes(spark, sf):
+    """Files that load, hold only a header, have no readable date, lack
+    columns, have a row too long, or a quoted field that never closes, in one load."""
+    from bookspark.plans.load import load_files
+    from bookspark.session import scratch_path
+    from bookspark.sources import exports as X
+    folder = scratch_path(spark, "outcomes")
+    names, cells = T.RAW_COLUMNS, _raw_cells()
+    X.write_csvs(T.sales_raw(spark, sf), [
+        X.Layout(names, cells), X.Layout(names, cells, rows=False), X.Layout(names, [F.lit("never"), *cells[1:]]),
+        X.Layout(["Date", "Qty", "Total"], [F.col("Date"), F.col("Qty"), F.col("Total")]),
+        X.Layout(names, cells, tail=["1,2,3,4,5,6,7,8,9,10,11"]), X.Layout(names, cells, tail=['1,"2', "3,4"])], folder)
+    out = load_files(spark, f"{folder}/*/*.txt").outcomes
+    return out.select(F.regexp_extract("_file", r"shop=([^/]+)/", 1).alias("shop"), "status", "error")
+
+
+def _typed_rows(spark, sf):
+    """Ids and numbers in many spellings, by file: 17-digit ids and 1 / 1.0 / 1e0; ids like
+    ``12D`` and a text column; ids like ``0x1p3`` and 007 / 7; ids near 2^64 and truth values."""
+    li = T.load(spark, sf, "lineitem")
+    k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    n, kind = F.floor(F.col("l_orderkey") / 8), F.col("l_partkey") % 4
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (k % 3 + 1).cast("int"))
+    text = lambda c: c.cast("string")
+    return li.select(
+        F.concat(F.lit("f"), text(kind)).alias("_file"), k.alias("_row"),
+        F.when(kind == 0, text(F.lit(12345678901200000) + n)).when(kind == 1, F.concat(text(n), pick(["D", "F", "L"])))
+         .when(kind == 2, F.concat(F.lit("0x1p"), text(n % 500))).otherwise(F.concat(F.lit("184467440737095"), F.lpad(text(n % 50000), 5, "0"))).alias("id"),
+        F.when(kind == 0, pick(["1", "1.0", "1e0"])).when(kind == 1, F.when(k % 7 == 0, "x").otherwise(pick(["1", "1.0", "2"])))
+         .when(kind == 2, pick(["007", "7", "+7"])).otherwise(pick(["TRUE", "true", "False"])).alias("num"))
+
+
+@register("dedupe_typed")
+def q_dedupe_typed(spark, sf):
+    """C1, S12 on typed columns: equal numbers are duplicates, ids are never rounded, and
+    the first row's own spelling stays."""
+    from bookspark.operators import cleaning as C
+    return C.dedupe(C.typed_columns(_typed_rows(spark, sf))).select("_file", "_row", "id", "num", F.col("_copies").alias("copies"))
+
+
 # ----------------------------------------------------------------- findings
 
 @register("finding_facts")

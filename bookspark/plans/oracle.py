@@ -570,6 +570,43 @@ SELECT _file AS shop,
 FROM raw GROUP BY _file"""
 
 
+# The same clean rows, whatever the files' headers or containers.
+_LOADED = _with(RAW, DEDUPED) + """
+SELECT _file AS shop, order_id, date, product, qty, unit_price, total, vendor, channel, payment_method FROM fm WHERE _date_ok"""
+ORACLE["mixed_case_load"] = _LOADED
+ORACLE["xlsx_load"] = _LOADED
+
+ORACLE["csv_values"] = _with(RAW) + """
+SELECT _file AS shop, "order id" || '-' || CAST(_row AS VARCHAR) AS key,
+       "Product " || chr(10) || '"x, y; z"' || chr(9) || '€ “é” –' || chr(13) || chr(10) || "Vendor" AS text, "Qty" AS qty,
+       CASE n % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS delimiter,
+       CASE n % 3 WHEN 1 THEN 'windows-1252' ELSE 'utf-8-sig' END AS encoding
+FROM (SELECT *, CAST(regexp_extract(_file, '(\\d+)$', 1) AS INTEGER) AS n FROM raw)"""
+
+ORACLE["load_outcomes"] = _with(RAW) + """
+SELECT _file AS shop, CASE n % 6 WHEN 0 THEN 'ok' WHEN 3 THEN 'missing_columns' WHEN 4 THEN 'error' WHEN 5 THEN 'error' ELSE 'empty' END AS status,
+       CASE n % 6 WHEN 1 THEN 'The file has no data rows — only a header, or nothing at all.'
+                  WHEN 2 THEN 'All ' || CAST("rows" AS VARCHAR) || ' row(s) were read, but every date failed to parse — check the date column''s format.'
+                  WHEN 3 THEN 'Missing columns: product, qty. Needs: date, product, qty, unit_price, total. Found: Date, Qty, Total.'
+                  WHEN 4 THEN 'Couldn''t read that as a CSV: 1 row(s) have more fields than the header.'
+                  WHEN 5 THEN 'Couldn''t read that as a CSV: a quoted field is never closed.' END AS error
+FROM (SELECT _file, CAST(regexp_extract(_file, '(\\d+)$', 1) AS INTEGER) AS n, COUNT(*) AS "rows" FROM raw GROUP BY _file)"""
+
+ORACLE["dedupe_typed"] = """
+WITH t AS (
+  SELECT l_partkey % 4 AS kind, l_orderkey * 10 + l_linenumber AS _row, l_orderkey // 8 AS n FROM lineitem
+), v AS (
+  SELECT 'f' || CAST(kind AS VARCHAR) AS _file, kind, _row,
+         CASE kind WHEN 0 THEN CAST(12345678901200000 + n AS VARCHAR) WHEN 1 THEN CAST(n AS VARCHAR) || ['D', 'F', 'L'][_row % 3 + 1]
+                   WHEN 2 THEN '0x1p' || CAST(n % 500 AS VARCHAR) ELSE '184467440737095' || lpad(CAST(n % 50000 AS VARCHAR), 5, '0') END AS id,
+         CASE kind WHEN 0 THEN ['1', '1.0', '1e0'][_row % 3 + 1] WHEN 1 THEN CASE WHEN _row % 7 = 0 THEN 'x' ELSE ['1', '1.0', '2'][_row % 3 + 1] END
+                   WHEN 2 THEN ['007', '7', '+7'][_row % 3 + 1] ELSE ['TRUE', 'true', 'False'][_row % 3 + 1] END AS num
+  FROM t
+)
+SELECT _file, MIN(_row) AS _row, id, arg_min(num, _row) AS num, COUNT(*) AS copies
+FROM v GROUP BY _file, id, CASE kind WHEN 0 THEN '1' WHEN 2 THEN '7' WHEN 3 THEN lower(num) ELSE num END"""
+
+
 # ------------------------------------------------------- mapping, sheets, sinks
 
 ORACLE["apply_mapping"] = _with(RAW) + """
