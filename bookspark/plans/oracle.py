@@ -646,9 +646,7 @@ ORACLE["sheet_listing"] = _with(RAW, CELLS) + """
 SELECT dims._file, dims.sheet, rows, cols, preview FROM dims LEFT JOIN pv USING (_file, sheet)"""
 
 ROW_PROFILE = """
-rs AS (SELECT DISTINCT _file, sheet, row FROM cells),
-sc AS (SELECT _file, sheet, row FROM (
-         SELECT *, ROW_NUMBER() OVER (PARTITION BY _file, sheet ORDER BY row) AS i FROM rs) WHERE i <= 15),
+sc AS (SELECT _file, sheet, CAST(unnest(range(0, LEAST(MAX(row), 14) + 1)) AS INTEGER) AS row FROM cells GROUP BY _file, sheet),
 wd AS (SELECT _file, sheet, MAX(col) + 1 AS width FROM cells GROUP BY ALL),
 nb AS (SELECT c.* FROM cells c JOIN sc USING (_file, sheet, row)
        WHERE regexp_replace(c.value, '^\\s+|\\s+$', '', 'g') <> ''),

@@ -15,7 +15,9 @@ def finding_json(table: DataFrame, question: str, route: str, headline: str,
     record, in table order (``ord``).  Records stay distributed: a breakdown
     with millions of values is never gathered into one row or one task."""
     if facts is not None:
-        f = facts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "text")))).alias("facts"))
+        # a finding's few facts, in their own order
+        inner = F.transform(F.array_sort(F.collect_list(F.struct("ord", "key", "text"))), lambda x: F.struct(x["key"].alias("key"), x["text"].alias("value")))
+        f = facts.agg(F.map_from_entries(inner).alias("facts"))
     else:
         f = table.sparkSession.range(1).select(F.create_map().cast("map<string,string>").alias("facts"))
     head = f.select(F.lit(0).cast("bigint").alias("ord"), F.to_json(F.struct(
@@ -50,7 +52,7 @@ def finding_rows(table: DataFrame, question: str, headline: str, label_col: str
                  facts: DataFrame | None = None, narration: str | None = None) -> DataFrame:
     """K3: long report rows (ord, pos, section, label, value): question, headline,
     one row per table record (value = revenue if present, else the second
-    column; ``pos`` ascends in the table's order), facts, narration."""
+    column; ``pos`` ascends in the table's order), facts in order, narration."""
     cols = table.columns
     label_col = label_col or cols[0]
     value_col = "revenue" if "revenue" in cols else cols[1]
@@ -62,7 +64,7 @@ def finding_rows(table: DataFrame, question: str, headline: str, label_col: str
                         F.col(value_col).cast("string").alias("value"))
     out = head.unionByName(body)
     if facts is not None:
-        out = out.unionByName(facts.select(F.lit(3).alias("ord"), F.lit(0).cast("bigint").alias("pos"), F.lit("facts").alias("section"),
+        out = out.unionByName(facts.select(F.lit(3).alias("ord"), F.col("ord").cast("bigint").alias("pos"), F.lit("facts").alias("section"),
                                            F.initcap(F.regexp_replace("key", "_", " ")).alias("label"),
                                            F.col("text").alias("value")))
     if narration is not None:

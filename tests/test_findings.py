@@ -35,3 +35,14 @@ def test_context_text_layout(spark):
     ctx = FD.context_text("Top 2 products by revenue", facts, t, [F.col("orders").asc()], "Read it well.").first()[0]
     assert ctx == ("Top 2 products by revenue\nnote: hello\nproduct revenue orders\n"
                    "      a   1,000      3\n     bb      20     12\nHow to interpret this: Read it well.")
+
+
+def test_facts_keep_their_order_in_json_and_rows(spark):
+    import json
+    from bookspark.sinks import reports as K
+    facts = spark.createDataFrame([("f", 2, "alpha", "z"), ("f", 0, "zeta", "x"), ("f", 1, "mid", "y")], "finding string, ord int, key string, text string")
+    table = spark.createDataFrame([("a", 1.0)], "value string, revenue double")
+    head = json.loads(next(r["json"] for r in K.finding_json(table, "q", "r", "h", facts).collect() if r["ord"] == 0))
+    assert list(head["facts"].items()) == [("zeta", "x"), ("mid", "y"), ("alpha", "z")]
+    rows = sorted((r["pos"], r["label"]) for r in K.finding_rows(table, "q", "h", facts=facts).collect() if r["section"] == "facts")
+    assert [label for _, label in rows] == ["Zeta", "Mid", "Alpha"]
