@@ -18,10 +18,11 @@ Spark's text writer writes the files: its line separator is the end id, so a fil
 holds exactly the bytes above.  Readers take whole shards through Spark's binary
 source and work on them in place; ``fetch`` reads only the shards that keys fall in.
 
-Encoding.  A text is cut where white space follows other characters; there every
-pre-token ends, so pieces encode alone as they do in the text.  Pieces are encoded by
-the tokenizers library, its pre-tokeniser and its model, and remembered in a bounded
-cache.  Tokenizers of another kind encode whole texts.
+Encoding.  The tokenizers library's model encodes each pre-token once; its ids are
+remembered in a bounded cache.  A text of Latin letters, digits, ASCII marks and white
+space is cut by the byte-level tokenizer's own rules.  Any other is cut where white
+space follows other characters, where every pre-token ends, and the library's
+pre-tokeniser cuts the pieces.  Tokenizers of another kind encode whole texts.
 
 Scale.  A shard takes ``shard_bytes`` of text or ``shard_docs`` documents, more only
 by one document or by chance of the range sample; texts meet one range shuffle and
@@ -56,7 +57,8 @@ from bookspark.session import BROADCAST_MAX_ROWS, local_df, scratch_path, write_
 SHARD_BYTES = 32 << 20
 SHARD_DOCS = 1 << 20
 BLOCK_CHARS = 1 << 20
-PIECES_HELD = 80_000
+TOKENS_HELD = 200_000
+PIECES_HELD = 60_000
 HELD_CHARS = 40
 MARK = b"IDSHARD1"
 # The code points of Unicode's White_Space property.
@@ -65,6 +67,9 @@ WORD_GAP = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"  # Latin letters, whose class never changed
 PLAIN = re.compile(f"[!-&(-~{LETTERS}]+")  # these, digits and printable marks, no apostrophe
+# The tokenizer's own cuts, for texts of nothing but these characters and white space of ASCII.
+CUTS = re.compile(f" ?[{LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^{SPACE}{LETTERS}0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+OTHER = re.compile(f"[^!-~{LETTERS}\t\n\x0b\x0c\r ]")
 RUNS = re.compile(f"[{LETTERS}]+|[0-9]+|[^0-9{LETTERS}]+")
 
 
@@ -141,8 +146,11 @@ class Held(dict):
         super().__init__(first)
         self.old = {}
 
+    def limit(self) -> int:
+        return PIECES_HELD
+
     def hold(self, key: str, value: bytes) -> bytes:
-        if len(self) >= PIECES_HELD:
+        if len(self) >= self.limit():
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -158,8 +166,11 @@ class WordIds(Held):
         self.single = {word: array(code, [i]).tobytes() for word, i in single.items()}
         self.tokenize, self.code = tokenizer.model.tokenize, code
 
+    def encode(self, word: str) -> bytes:
+        return self.single.get(word) or array(self.code, [t.id for t in self.tokenize(word)]).tobytes()
+
     def __missing__(self, word: str) -> bytes:
-        ids = self.single.get(word) or self.old.get(word) or array(self.code, [t.id for t in self.tokenize(word)]).tobytes()
+        ids = self.old.get(word) or self.encode(word)
         return self.hold(word, ids) if len(word) <= HELD_CHARS else ids
 
 
@@ -175,6 +186,21 @@ class CharNames(dict):
         return name
 
 
+class TokenIds(Held):
+    """Id bytes of a pre-token as the text spells it."""
+
+    def __init__(self, words: WordIds, names: CharNames):
+        super().__init__()
+        self.words, self.names = words, names
+
+    def limit(self) -> int:
+        return TOKENS_HELD
+
+    def __missing__(self, token: str) -> bytes:
+        ids = self.old.get(token) or self.words.encode("".join(map(self.names.__getitem__, token)))
+        return self.hold(token, ids) if len(token) <= HELD_CHARS else ids
+
+
 class PieceIds(Held):
     """Id bytes of a piece of text between spaces, with ``lead`` before it."""
 
@@ -215,6 +241,7 @@ class Encoder:
         cut = self.tokenizer.pre_tokenizer
         self.by_piece = isinstance(cut, pre_tokenizers.ByteLevel) and not cut.add_prefix_space and self.tokenizer.normalizer is None
         words = WordIds(self.tokenizer, self.dtype, single or {})
+        self.tokens = TokenIds(words, CharNames(self.tokenizer))
         self.segments = PieceIds(self.tokenizer, words)
         self.after_space = PieceIds(self.tokenizer, words, " ")
 
@@ -224,6 +251,8 @@ class Encoder:
         return b"".join(map(self._block, blocks(text)))
 
     def _block(self, text: str) -> bytes:
+        if not OTHER.search(text):
+            return b"".join(map(self.tokens.__getitem__, CUTS.findall(text)))
         if any(c in text and c + " " in text for c in SPACE):
             return b"".join(map(self.segments.__getitem__, SEGMENT.findall(text)))
         first, *rest = text.split(" ")

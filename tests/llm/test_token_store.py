@@ -31,15 +31,20 @@ def _texts(seed, n=150):
 
 
 def test_encoder_equals_the_library(encoder, library, monkeypatch):
+    rnd = random.Random(9)
+    plain = ["".join(rnd.choice([" ", "  ", "\n", "\t", "'s", "'ll", "'", "'x", "!?", "12", "é", "ñ", "ab", "Word", "$", "ÿ"]) for _ in range(rnd.randrange(30)))
+             for _ in range(200)]
+    assert not any(S.OTHER.search(t) for t in plain)
     for size in (S.BLOCK_CHARS, 7):
         monkeypatch.setattr(S, "BLOCK_CHARS", size)
         monkeypatch.setattr(S.blocks, "__defaults__", (size,))
-        for text in ["", " ", "a ", " a", "a b", "a  b", "  ", "a\n b ", *_texts(1)]:
+        for text in ["", " ", "a ", " a", "a b", "a  b", "  ", "a\n b ", *plain, *_texts(1)]:
             assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == library(text), repr(text)
 
 
 def test_cache_limit_changes_nothing(encoder, library, monkeypatch):
     monkeypatch.setattr(S, "PIECES_HELD", 3)
+    monkeypatch.setattr(S, "TOKENS_HELD", 3)
     for text in _texts(2, 40):
         assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == library(text)
 
