@@ -57,7 +57,7 @@ from bookspark.session import BROADCAST_MAX_ROWS, local_df, scratch_path, write_
 SHARD_BYTES = 32 << 20
 SHARD_DOCS = 1 << 20
 BLOCK_CHARS = 1 << 20
-TOKENS_HELD = 200_000
+TOKENS_HELD = 100_000
 PIECES_HELD = 60_000
 HELD_CHARS = 40
 MARK = b"IDSHARD1"
