@@ -79,6 +79,24 @@ def half_period_change(df: DataFrame, scope: Sequence[str] | None = None) -> Dat
                .withColumn("reported", reported))
 
 
+def full_summary(df: DataFrame, scope: Sequence[str] | None = None) -> DataFrame:
+    """A1 with A2: one row per scope, from one daily aggregation."""
+    s = _scope(scope)
+    d = reuse(daily(df, s))
+    bounds = d.groupBy(*s).agg(F.min("date").alias("_min"), F.max("date").alias("_max"))
+    j = _join_scope(d, bounds, s)
+    first = 2 * F.unix_date("date") <= F.unix_date("_min") + F.unix_date("_max")
+    money = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,2)")
+    out = j.groupBy(*s).agg(
+        money(F.col("revenue")).alias("total_revenue"),
+        F.coalesce(F.sum("orders"), F.lit(0)).cast("bigint").alias("orders"),
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        money(F.when(first, F.col("revenue"))).alias("first_half"), money(F.when(~first, F.col("revenue"))).alias("second_half"))
+    change = safe_ratio(F.col("second_half").cast("double") - F.col("first_half").cast("double"), F.col("first_half")) * 100
+    return (out.withColumn("avg_order_value", F.col("total_revenue").cast("double") / F.greatest("orders", F.lit(1)).cast("double"))
+               .withColumn("change_pct", F.when((F.col("orders") > 20) & (F.col("first_half") != 0), change)))
+
+
 # ------------------------------------------------------------ A3-A5, A10-A12
 
 def product_totals(df: DataFrame, scope: Sequence[str] | None = None) -> DataFrame:
@@ -294,8 +312,8 @@ def weekday_spread(df: DataFrame, scope: Sequence[str] | None = None) -> DataFra
 
 def weekend_effect(df: DataFrame, scope: Sequence[str] | None = None) -> DataFrame:
     """Weekend revenue / 2 vs weekday revenue / 5 (fixed divisors, as the
-    reference), reported above a 15 % relative difference.  ``per_date_*``
-    adds the true average per calendar date present."""
+    reference), reported above a 15 % relative difference; ``*_dates`` count the
+    calendar dates present."""
     s = _scope(scope)
     d = daily(df, s)
     is_we = F.date_format("date", "EEEE").isin(WEEKEND)

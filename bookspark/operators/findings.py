@@ -8,10 +8,11 @@ analysis ran.  Output: a long table ``(finding, ord, key, text)``.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookspark.operators import analyses as A
+from bookspark.session import local_df
 
 # Headlines of the findings, as the reference states them.
 HEADLINES = {
@@ -23,6 +24,12 @@ HEADLINES = {
     "quiet_days": "Revenue by day of week, weakest first",
 }
 
+# The finding that answers a label, and the column of those about a dimension.
+FINDINGS = {"ranking_by_product": "top_products", "worst_by_product": "bottom_products", "monthly_trend": "monthly_trend",
+            "ranking_by_vendor": "by_dimension", "ranking_by_channel": "by_dimension", "ranking_by_payment": "by_dimension",
+            "quiet_days": "quiet_days", "revenue_summary": "revenue_summary"}
+DIMENSIONS = {"ranking_by_vendor": "vendor", "ranking_by_channel": "channel", "ranking_by_payment": "payment_method"}
+
 
 def ngn(c: Column) -> Column:
     """``f"NGN {x:,.0f}"``."""
@@ -149,6 +156,61 @@ def weekday_facts(sales: DataFrame) -> DataFrame:
     return _long(x, "quiet_days", [("spread", spread, None), ("weekend effect", effect, F.col("reported"))])
 
 
+CONTEXT_ROWS = 10  # rows of a finding's table that its context shows
+
+
+def _cells(table: DataFrame, label: str, order: list[Column], rows: int) -> DataFrame:
+    """The first ``rows`` rows of a finding's table, one row per cell."""
+    w = Window.orderBy(*order)  # over at most ``rows`` rows
+    head = table.orderBy(*order).limit(rows).withColumn("_ord", F.row_number().over(w))
+    kinds = dict(table.dtypes)
+    numeric = lambda c: kinds[c].startswith(("decimal", "double", "bigint", "int"))
+    cells = F.array(*[F.struct(
+        F.lit(c).alias("key"),
+        (F.lit(None) if numeric(c) else F.col(c)).cast("string").alias("text"),
+        (F.col(c) if numeric(c) else F.lit(None)).cast("double").alias("number")) for c in table.columns if c != "rank"])
+    return (head.select("_ord", F.explode(cells).alias("c"))
+            .select(F.lit(label).alias("label"), F.lit("table").alias("section"), F.col("_ord").alias("ord"), "c.key", "c.text", "c.number"))
+
+
+def finding_store(sales: DataFrame, labels: list[str], n: int = 5, rows: int = CONTEXT_ROWS) -> DataFrame:
+    """``(label, section, ord, key, text, number)``: headline, facts, the first ``rows``
+    rows of the table, and guidance of every label's finding, in order.
+
+    Each analysis runs once, however many questions ask for it.  The store has a
+    bounded number of rows per label whatever the size of ``sales``, so questions
+    meet it by a broadcast join.  A dimension that ``sales`` lacks has a headline
+    and guidance only."""
+    heads, facts, tables = [], [], []
+    for label in labels:
+        column = DIMENSIONS.get(label)
+        finding = FINDINGS[label]
+        heads += [(label, "headline", 0, None, HEADLINES[finding].format(n=n, label=(column or "").replace("_", " ")), None),
+                  (label, "guidance", 0, None, A.guidance_for(finding, column), None)]
+        if column and column not in sales.columns:
+            continue
+        if column:
+            f, t, order = dimension_facts(sales, column), A.by_dimension(sales, column), [F.col("revenue").desc(), F.col("value").asc()]
+        elif finding == "top_products":
+            f, t, order = top_product_facts(sales, n), A.top_products(sales, n), [F.col("rank").asc()]
+        elif finding == "bottom_products":
+            f, t, order = bottom_product_facts(sales, n), A.bottom_products(sales, n), [F.col("rank").asc()]
+        elif finding == "monthly_trend":
+            f, t, order = monthly_facts(sales), A.monthly_trend(sales), [F.col("month").asc()]
+        elif finding == "quiet_days":
+            f, t, order = weekday_facts(sales), A.quiet_days(sales), [F.col("rank").asc()]
+        else:  # the summary has facts alone
+            f, t, order = revenue_facts(sales), None, []
+        facts.append(f.select(F.lit(label).alias("label"), F.lit("fact").alias("section"), "ord", "key", "text",
+                              F.lit(None).cast("double").alias("number")))
+        if t is not None:
+            tables.append(_cells(t, label, order, rows))
+    out = local_df(sales.sparkSession, heads, "label string, section string, ord int, key string, text string, number double")
+    for part in [*facts, *tables]:
+        out = out.unionByName(part)
+    return out
+
+
 def table_text(table: DataFrame, order: list[Column], rows: int = 10) -> DataFrame:
     """The first ``rows`` rows as right-aligned text, one space between
     columns (``to_string(index=False)`` layout).  Works on a finding table,

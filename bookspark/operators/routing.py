@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from bookspark.functions.text import py_strip
 from bookspark.operators import analyses as A
+from bookspark.operators import findings as FD
+from bookspark.operators.common import reuse
 
 # The eight categories with their descriptions (Q6) and the
 # keywords of the dimension hint (Q2), in the reference's order.
@@ -108,9 +110,6 @@ HANDLERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-DIMENSIONS = {"ranking_by_vendor": "vendor", "ranking_by_channel": "channel", "ranking_by_payment": "payment_method"}
-
-
 def dispatch(sales: DataFrame, questions: DataFrame) -> dict[str, DataFrame]:
     """Q1 for a table of ``(question_id, question, label)``: each analysis
     runs once for all questions carrying its label (the label set is the
@@ -118,39 +117,46 @@ def dispatch(sales: DataFrame, questions: DataFrame) -> dict[str, DataFrame]:
     or unknown go to retrieval (R5).  A dimension that the sales table lacks gives
     an empty finding and leaves the other answers alone."""
     labels = [r[0] for r in questions.filter(F.col("label").isin(LABELS)).select("label").distinct().collect()]
-    return {lab: HANDLERS[lab](sales) if DIMENSIONS.get(lab, "date") in sales.columns
-            else HANDLERS[lab](sales.withColumn(DIMENSIONS[lab], F.lit(None).cast("string")).limit(0)) for lab in labels}
+    return {lab: HANDLERS[lab](sales) if FD.DIMENSIONS.get(lab, "date") in sales.columns
+            else HANDLERS[lab](sales.withColumn(FD.DIMENSIONS[lab], F.lit(None).cast("string")).limit(0)) for lab in labels}
+
+
+def asked_labels(questions: DataFrame) -> list[str]:
+    """The labels that questions carry, among the eight (at most eight rows)."""
+    asked = {r[0] for r in questions.filter(F.col("label").isin(LABELS)).select("label").distinct().collect()}
+    return [label for label in LABELS if label in asked]
+
+
+def answer_figures(sales: DataFrame, questions: DataFrame) -> DataFrame:
+    """Q1 in full: every labelled question of ``(question_id, label)`` with the whole of
+    its finding, one row per fact and table cell.  The store is bounded and broadcast."""
+    store = reuse(FD.finding_store(sales, asked_labels(questions)))
+    return questions.select("question_id", "label").join(F.broadcast(store), "label")
 
 
 def answer_questions(sales: DataFrame, index, questions: DataFrame, top_k: int = 50,
                      id_col: str = "_row") -> DataFrame:
-    """Entry 2 in batch: ``questions(question_id, text, label)``.  Questions
-    with one of the eight labels are routed to their analysis (run once per
-    label with :func:`dispatch`); the others are answered by retrieval - the
-    revenue summary of their ``top_k`` BM25 rows, or of all rows when
-    nothing matches (R5).  One row per question."""
-    from bookspark.operators import findings as FD
-    from bookspark.operators.retrieval import retrieval_summary
-    heads = {"ranking_by_product": FD.HEADLINES["top_products"].format(n=5),
-             "worst_by_product": FD.HEADLINES["bottom_products"].format(n=5),
-             "monthly_trend": FD.HEADLINES["monthly_trend"],
-             "ranking_by_vendor": FD.HEADLINES["by_dimension"].format(label="vendor"),
-             "ranking_by_channel": FD.HEADLINES["by_dimension"].format(label="channel"),
-             "ranking_by_payment": FD.HEADLINES["by_dimension"].format(label="payment method"),
-             "quiet_days": FD.HEADLINES["quiet_days"],
-             "revenue_summary": FD.HEADLINES["revenue_summary"]}
-    headline = F.lit(None).cast("string")
-    for lab, h in heads.items():
-        headline = F.when(F.col("label") == lab, F.lit(h)).otherwise(headline)
+    """Entry 2 in batch: ``questions(question_id, text, label)``, one row per question.
+    Questions with one of the eight labels get the headline of their finding, the
+    summary of the rows it rests on (all), and the leading row of its table; each
+    analysis runs once (:func:`answer_figures` has the whole findings).  The others are
+    answered by retrieval: the summary of their ``top_k`` BM25 rows, or of all rows
+    when nothing matches (R5).  Equal texts are searched once."""
+    from bookspark.operators.retrieval import SUMMARY, retrieval_summary
     known = F.col("label").isin(LABELS)
-    routed = questions.filter(known).select(
-        "question_id", "label", F.lit("analysis").alias("route"), headline.alias("headline"),
-        F.lit(None).cast("bigint").alias("orders"), F.lit(None).cast("decimal(38,2)").alias("total_revenue"))
-    rest = questions.filter(~F.coalesce(known, F.lit(False)))
-    summary = retrieval_summary(sales, index, rest.select(F.col("question_id").alias("query_id"), "text"),
-                                top_k=top_k, id_col=id_col)
-    retrieved = summary.select(
-        F.col("query_id").alias("question_id"), F.lit(None).cast("string").alias("label"),
-        F.lit("retrieval").alias("route"), "headline", F.col("orders").cast("bigint").alias("orders"),
-        "total_revenue")
+    store = reuse(FD.finding_store(sales, asked_labels(questions)))
+    cell = lambda key, what: F.max(F.when((F.col("section") == "table") & (F.col("ord") == 1) & F.col("key").isin(key), F.col(what)))
+    leads = store.groupBy("label").agg(
+        F.max(F.when(F.col("section") == "headline", F.col("text"))).alias("headline"),
+        cell(["product", "value", "month_label", "weekday"], "text").alias("lead"),
+        cell(["revenue"], "number").cast("decimal(38,2)").alias("lead_revenue"))
+    whole = reuse(A.full_summary(sales))
+    routed = (questions.filter(known).select("question_id", "label").join(F.broadcast(leads), "label").crossJoin(F.broadcast(whole))
+              .select("question_id", "label", F.lit("analysis").alias("route"), "headline", *SUMMARY, "lead", "lead_revenue"))
+    rest = reuse(questions.filter(~F.coalesce(known, F.lit(False))).select("question_id", F.coalesce("text", F.lit("")).alias("query_id")))
+    asked = rest.select("query_id").distinct().withColumn("text", F.col("query_id"))
+    summary = retrieval_summary(sales, index, asked, top_k=top_k, id_col=id_col)
+    retrieved = rest.join(summary, "query_id").select(
+        "question_id", F.lit(None).cast("string").alias("label"), F.lit("retrieval").alias("route"), "headline", *SUMMARY,
+        F.lit(None).cast("string").alias("lead"), F.lit(None).cast("decimal(38,2)").alias("lead_revenue"))
     return routed.unionByName(retrieved)

@@ -651,3 +651,37 @@ def q_answer_questions(spark, sf):
     s = T.sales(spark, sf)
     idx = R.build_index(R.row_documents(s, id_col="line_id"))
     return Q.answer_questions(s, idx, questions, top_k=50, id_col="line_id")
+
+
+def _logged(spark, sf):
+    return _routed(spark, sf).select(F.col("id").alias("question_id"), F.col("question").alias("text"), F.col("got").alias("label"))
+
+
+@register("answer_log")
+def q_answer_log(spark, sf):
+    """Q1 + Q3 + R5 over the routing log: all eight labels occur, and questions without one."""
+    from bookspark.operators import retrieval as R
+    from bookspark.operators import routing as Q
+    s = T.sales(spark, sf)
+    idx = R.build_index(R.row_documents(s, id_col="line_id"))
+    return Q.answer_questions(s, idx, _logged(spark, sf), top_k=50, id_col="line_id")
+
+
+@register("answer_figures")
+def q_answer_figures(spark, sf):
+    """Q1: the table figures of every labelled question of the routing log."""
+    from bookspark.operators import routing as Q
+    return Q.answer_figures(T.sales(spark, sf), _logged(spark, sf)).filter("section = 'table'").drop("section")
+
+
+@register("volume_warning_by_year")
+def q_volume_warning_by_year(spark, sf):
+    """A12 per vendor and year, where low earners that sell many units occur."""
+    s = T.sales(spark, sf).withColumn("year", F.year("date"))
+    return A.volume_warning(s, 5, scope=["vendor", "year"])
+
+
+@register("data_gaps")
+def q_data_gaps(spark, sf):
+    """A15-A17 per file over cleaned rows, whose blank channels count as ``unknown``."""
+    return A.dimension_flags(_clean(spark, sf).clean, "channel", scope=["_file"])

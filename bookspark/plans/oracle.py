@@ -457,19 +457,32 @@ ORACLE["bm25_search"] = _with(SALES, _bm25(SALES_DOCS, SEARCH_QUERIES, 20)) + "S
 ORACLE["bm25_documents"] = _with(_bm25("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents",
                                        DOCUMENT_QUERIES, 10)) + "SELECT * FROM hits"
 
-ORACLE["retrieval_summary"] = _with(SALES, _bm25(SALES_DOCS, SEARCH_QUERIES, 50)) + f"""
-, agg AS (SELECT h.query_id, {MONEY.replace('total', 's.total')} AS total_revenue, COUNT(*) AS orders,
-                 MIN(s.date) AS first_date, MAX(s.date) AS last_date
-          FROM hits h JOIN sales s ON s.line_id = h.doc_id GROUP BY h.query_id)
-, whole AS (SELECT {MONEY} AS all_revenue, COUNT(*) AS all_orders, MIN(date) AS all_first,
-                   MAX(date) AS all_last FROM sales)
-SELECT q.query_id,
-       CASE WHEN a.orders IS NOT NULL THEN a.total_revenue ELSE w.all_revenue END AS total_revenue,
-       CASE WHEN a.orders IS NOT NULL THEN a.orders ELSE w.all_orders END AS orders,
-       CASE WHEN a.orders IS NOT NULL THEN a.first_date ELSE w.all_first END AS first_date,
-       CASE WHEN a.orders IS NOT NULL THEN a.last_date ELSE w.all_last END AS last_date,
-       CASE WHEN a.orders IS NOT NULL THEN 'Summary of the ' || a.orders || ' orders most relevant to your question'
-            ELSE 'Overall sales performance' END AS headline
+
+def _period(rows: str, key: str = "") -> str:
+    """A1 with A2 over ``rows`` (date, total), by ``key`` if given."""
+    by, join = (f"GROUP BY {key}", f"USING ({key})") if key else ("", "ON true")
+    days = "2 * (r.date - DATE '1970-01-01') {} (b.mn - DATE '1970-01-01') + (b.mx - DATE '1970-01-01')"
+    half = "CAST(COALESCE(SUM(CASE WHEN " + days + " THEN CAST(r.total AS DECIMAL(18,2)) END), 0) AS DECIMAL(38,2))"
+    k = f"{key}, " if key else ""
+    return f"""(SELECT *, CAST(total_revenue AS DOUBLE) / CAST(GREATEST(orders, 1) AS DOUBLE) AS avg_order_value,
+       CASE WHEN orders > 20 AND first_half <> 0
+            THEN (CAST(second_half AS DOUBLE) - CAST(first_half AS DOUBLE)) / CAST(first_half AS DOUBLE) * 100 END AS change_pct
+FROM (SELECT {k}{MONEY.replace('total', 'r.total')} AS total_revenue, COUNT(*) AS orders, MIN(r.date) AS first_date, MAX(r.date) AS last_date,
+             {half.format('<=')} AS first_half, {half.format('>')} AS second_half
+      FROM {rows} r JOIN (SELECT {k}MIN(date) AS mn, MAX(date) AS mx FROM {rows} {by}) b {join} {by}))"""
+
+
+SUMMARY = ["total_revenue", "orders", "first_date", "last_date", "avg_order_value", "first_half", "second_half", "change_pct"]
+RETRIEVED = f"""
+, hr AS (SELECT h.query_id, s.date, s.total FROM hits h JOIN sales s ON s.line_id = h.doc_id)
+, agg AS {_period('hr', 'query_id')}
+, whole AS {_period('sales')}"""
+PICKED = ", ".join(f"CASE WHEN a.orders IS NOT NULL THEN a.{c} ELSE w.{c} END AS {c}" for c in SUMMARY)
+PICKED_HEAD = """CASE WHEN a.orders IS NOT NULL THEN 'Summary of the ' || a.orders || ' orders most relevant to your question'
+            ELSE 'Overall sales performance' END AS headline"""
+
+ORACLE["retrieval_summary"] = _with(SALES, _bm25(SALES_DOCS, SEARCH_QUERIES, 50)) + RETRIEVED + f"""
+SELECT q.query_id, {PICKED}, {PICKED_HEAD}
 FROM q LEFT JOIN agg a USING (query_id) CROSS JOIN whole w"""
 
 
@@ -773,32 +786,6 @@ questions AS (
   FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'user') u
   LEFT JOIN rp ON rp.conv_id = u.conv_id AND rp.turn = u.turn)"""
 
-ORACLE["answer_questions"] = _with(SALES, QUESTIONS, _bm25(
-    SALES_DOCS, [], 50, q_sql="SELECT question_id AS query_id, text FROM questions WHERE label IS NULL")) + f"""
-, agg AS (SELECT h.query_id, {MONEY.replace('total', 's.total')} AS total_revenue, COUNT(*) AS orders
-          FROM hits h JOIN sales s ON s.line_id = h.doc_id GROUP BY h.query_id)
-, whole AS (SELECT {MONEY} AS all_revenue, COUNT(*) AS all_orders FROM sales)
-SELECT question_id, label, 'analysis' AS route,
-       CASE label WHEN 'ranking_by_product' THEN 'Top 5 products by revenue'
-                  WHEN 'worst_by_product' THEN '5 weakest-selling products by revenue (lowest earners)'
-                  WHEN 'monthly_trend' THEN 'Revenue by month'
-                  WHEN 'ranking_by_vendor' THEN 'Revenue by vendor'
-                  WHEN 'ranking_by_channel' THEN 'Revenue by channel'
-                  WHEN 'ranking_by_payment' THEN 'Revenue by payment method'
-                  WHEN 'quiet_days' THEN 'Revenue by day of week, weakest first'
-                  ELSE 'Overall sales performance' END AS headline,
-       CAST(NULL AS BIGINT) AS orders, CAST(NULL AS DECIMAL(38,2)) AS total_revenue
-FROM questions WHERE label IS NOT NULL
-UNION ALL
-SELECT q.question_id, CAST(NULL AS VARCHAR) AS label, 'retrieval' AS route,
-       CASE WHEN a.orders IS NOT NULL THEN 'Summary of the ' || a.orders || ' orders most relevant to your question'
-            ELSE 'Overall sales performance' END AS headline,
-       CAST(COALESCE(a.orders, w.all_orders) AS BIGINT) AS orders,
-       COALESCE(a.total_revenue, w.all_revenue) AS total_revenue
-FROM questions q LEFT JOIN agg a ON a.query_id = q.question_id CROSS JOIN whole w
-WHERE q.label IS NULL"""
-
-
 from bookspark.sources.tables import LOG_LABELS, LOG_QUESTIONS  # noqa: E402
 
 ROUTED = f"""
@@ -824,3 +811,81 @@ ORACLE["routing_stability"] = _with(ROUTED) + """
 SELECT (SELECT quantile_cont(score, 0.5) FROM (SELECT COUNT(*) FILTER (WHERE got = expected) AS score FROM routed GROUP BY run)) AS median_score,
        (SELECT COUNT(DISTINCT run) FROM routed) AS runs,
        (SELECT COUNT(*) FROM (SELECT question FROM routed GROUP BY question HAVING COUNT(DISTINCT COALESCE(got, '<none>')) > 1)) AS flaky_questions"""
+
+
+# ------------------------------------------------------ answers to questions
+
+def _ranked(label: str, source: str, order: str, texts: list[str], numbers: list[str], rows: int = 10) -> str:
+    """The first rows of a finding's table, one row per cell."""
+    head = f"(SELECT *, ROW_NUMBER() OVER (ORDER BY {order}) AS ord FROM {source})"
+    cells = [f"SELECT '{label}' AS label, CAST(ord AS INTEGER) AS ord, '{c}' AS key, CAST({c} AS VARCHAR) AS text, CAST(NULL AS DOUBLE) AS number "
+             f"FROM {head} WHERE ord <= {rows}" for c in texts]
+    cells += [f"SELECT '{label}' AS label, CAST(ord AS INTEGER) AS ord, '{c}' AS key, CAST(NULL AS VARCHAR) AS text, CAST({c} AS DOUBLE) AS number "
+              f"FROM {head} WHERE ord <= {rows}" for c in numbers]
+    return " UNION ALL ".join(cells)
+
+
+def _dimension_rows(column: str) -> str:
+    return (f"(SELECT {column} AS value, {MONEY} AS revenue, COUNT(*) AS orders, CAST({MONEY} AS DOUBLE) / "
+            f"(SELECT CAST({MONEY} AS DOUBLE) FROM sales) * 100 AS share_pct FROM sales GROUP BY 1)")
+
+
+STORE = "store AS (" + " UNION ALL ".join([
+    _ranked("ranking_by_product", "prod", "revenue DESC, product", ["product"], ["revenue", "units", "orders"], 5),
+    _ranked("worst_by_product", "prod", "revenue, product", ["product"], ["revenue", "units", "orders"], 5),
+    _ranked("monthly_trend", "trend", "month", ["month", "month_label"], ["revenue", "orders"]),
+    _ranked("quiet_days", "wd", "revenue, weekday", ["weekday"], ["revenue", "orders"]),
+    *(_ranked(label, _dimension_rows(c), "revenue DESC, value", ["value"], ["revenue", "orders", "share_pct"])
+      for label, c in (("ranking_by_vendor", "vendor"), ("ranking_by_channel", "channel"), ("ranking_by_payment", "payment_method")))]) + ")"
+LOGGED = "questions AS (SELECT id AS question_id, question AS text, got AS label FROM routed)"
+
+ORACLE["answer_figures"] = _with(SALES, PRODUCTS, MONTHS, WEEKDAYS, ROUTED, STORE, LOGGED) + """
+SELECT question_id, label, s.ord, s.key, s.text, s.number FROM questions JOIN store s USING (label)"""
+
+
+def _answers(*questions: str) -> str:
+    return _with(SALES, PRODUCTS, MONTHS, WEEKDAYS, STORE, *questions, _bm25(
+        SALES_DOCS, [], 50, q_sql="SELECT question_id AS query_id, text FROM questions WHERE label IS NULL")) + RETRIEVED + f"""
+, leads AS (SELECT label, MAX(CASE WHEN key IN ('product', 'value', 'month_label', 'weekday') THEN text END) AS lead,
+                   CAST(MAX(CASE WHEN key = 'revenue' THEN number END) AS DECIMAL(38,2)) AS lead_revenue
+            FROM store WHERE ord = 1 GROUP BY label)
+SELECT question_id, label, 'analysis' AS route,
+       CASE label WHEN 'ranking_by_product' THEN 'Top 5 products by revenue'
+                  WHEN 'worst_by_product' THEN '5 weakest-selling products by revenue (lowest earners)'
+                  WHEN 'monthly_trend' THEN 'Revenue by month'
+                  WHEN 'ranking_by_vendor' THEN 'Revenue by vendor'
+                  WHEN 'ranking_by_channel' THEN 'Revenue by channel'
+                  WHEN 'ranking_by_payment' THEN 'Revenue by payment method'
+                  WHEN 'quiet_days' THEN 'Revenue by day of week, weakest first'
+                  ELSE 'Overall sales performance' END AS headline,
+       {", ".join("w." + c for c in SUMMARY)}, lead, lead_revenue
+FROM questions LEFT JOIN leads USING (label) CROSS JOIN whole w WHERE label IS NOT NULL
+UNION ALL
+SELECT q.question_id, CAST(NULL AS VARCHAR) AS label, 'retrieval' AS route, {PICKED_HEAD}, {PICKED},
+       CAST(NULL AS VARCHAR) AS lead, CAST(NULL AS DECIMAL(38,2)) AS lead_revenue
+FROM questions q LEFT JOIN agg a ON a.query_id = q.question_id CROSS JOIN whole w
+WHERE q.label IS NULL"""
+
+
+ORACLE["answer_questions"] = _answers(QUESTIONS)
+ORACLE["answer_log"] = _answers(ROUTED, LOGGED)
+
+ORACLE["volume_warning_by_year"] = _with(SALES) + f"""
+, g AS (SELECT vendor, year(date) AS year, product, {MONEY} AS revenue, CAST(COALESCE(SUM(qty), 0) AS DOUBLE) AS units, COUNT(*) AS orders
+        FROM sales GROUP BY 1, 2, 3)
+, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vendor, year ORDER BY revenue ASC, product ASC) AS rank,
+               ROW_NUMBER() OVER (PARTITION BY vendor, year ORDER BY units DESC, product ASC) AS by_units FROM g)
+SELECT vendor, year, product, revenue, units, orders, rank FROM r WHERE rank <= 5 AND by_units <= 5"""
+
+ORACLE["data_gaps"] = _with(RAW, DEDUPED) + f"""
+, g AS (SELECT _file, channel AS value, {MONEY} AS revenue, COUNT(*) AS orders FROM fm WHERE _date_ok GROUP BY 1, 2)
+, d AS (SELECT *, CAST(revenue AS DOUBLE) / CAST(SUM(revenue) OVER (PARTITION BY _file) AS DOUBLE) * 100 AS share_pct,
+               CAST(revenue AS DOUBLE) / CAST(orders AS DOUBLE) AS aov FROM g)
+, f AS (SELECT _file, arg_min(value, (-revenue, value)) AS leader, MAX(share_pct) AS leader_share_pct,
+               arg_min(value, (-aov, value)) AS high_aov_value, MAX(aov) AS high_aov,
+               arg_min(value, (aov, value)) AS low_aov_value, MIN(aov) AS low_aov, COUNT(*) AS "values",
+               COALESCE(MAX(CASE WHEN value = 'unknown' THEN share_pct END), 0.0) AS unknown_share_pct
+        FROM d GROUP BY _file)
+SELECT *, leader_share_pct > 50 AS concentration_risk, ("values" >= 2 AND high_aov > low_aov * 1.2) AS basket_gap,
+       unknown_share_pct > 2 AS data_gap
+FROM f"""

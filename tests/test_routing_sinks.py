@@ -78,6 +78,28 @@ def test_answer_questions_routes(spark, sf):
     assert out[1]["route"] == "analysis" and out[1]["headline"] == "Top 5 products by revenue"
     assert out[2]["route"] == "retrieval" and out[2]["headline"].startswith("Summary of the ")
     assert out[3]["headline"] == "Overall sales performance" and out[3]["orders"] == s.count()
+    best = Q.HANDLERS["ranking_by_product"](s).filter("rank = 1").first()
+    assert (out[1]["lead"], out[1]["lead_revenue"]) == (best["product"], best["revenue"])
+    assert out[2]["total_revenue"] == out[2]["first_half"] + out[2]["second_half"] and out[2]["avg_order_value"] > 0
+    whole, half = A.revenue_summary(s).first(), A.half_period_change(s).first()
+    for r in (out[1], out[3]):
+        assert r["avg_order_value"] == whole["avg_order_value"] and (r["first_half"], r["change_pct"]) == (half["first_half"], half["change_pct"])
+
+
+def test_the_store_has_the_whole_finding_of_every_label(spark, sf):
+    from bookspark.operators import findings as FD
+    s = T.sales(spark, sf).drop("vendor")
+    store = FD.finding_store(s, Q.LABELS).collect()
+    by = lambda label, section: sorted((r["ord"], r["key"], r["text"], r["number"]) for r in store if r["label"] == label and r["section"] == section)
+    for label in Q.LABELS:
+        assert len(by(label, "headline")) == len(by(label, "guidance")) == 1
+    assert by("ranking_by_vendor", "fact") == by("ranking_by_vendor", "table") == []
+    assert [f[1] for f in by("revenue_summary", "fact")][:4] == ["total revenue", "orders", "average order value", "period"]
+    assert {r[0] for r in by("monthly_trend", "table")} == set(range(1, 11)) and len(by("quiet_days", "table")) == 7 * 3
+    asked = spark.createDataFrame([(1, "quiet_days"), (2, "quiet_days"), (3, None), (4, "nonsense")], "question_id int, label string")
+    got = Q.answer_figures(s, asked).groupBy("question_id").count().collect()
+    assert {r["question_id"]: r["count"] for r in got} == {i: sum(r["label"] == "quiet_days" for r in store) for i in (1, 2)}
+    assert Q.answer_figures(s, asked.filter("question_id > 2")).count() == 0
 
 
 def test_a_missing_dimension_is_an_empty_finding(spark, sf):
