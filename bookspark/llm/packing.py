@@ -8,14 +8,18 @@ the token budget; a document longer than the budget is a batch of its own.
 
 Scale.  The histogram has one row per length class: each length up to 512, and
 256 classes per doubling above, so at most some thousand rows at any size reach
-the driver; sums of tokens are exact.  A bucket may hold a third of all
+the driver.  Sums of tokens are exact and a class stands for its longest document, so
+a boundary is always a document's length.  Up to 512 tokens the padding is the least
+possible; above, cuts inside a class are not tried, so no document's padding can
+exceed that of the best cuts by more than 1/256 of its length.  A bucket may hold a third of all
 documents: it is cut into shards of about ``SHARD_ROWS`` documents that are
 numbered side by side, each with at most one unfilled batch.
 
 Cases.  Null and empty texts have length 0, which counts as one padded token so
 that every batch is finite; null ids and repeated rows are packed like any other;
 an empty table gives an empty result; with fewer length classes than buckets
-there are fewer buckets; other columns pass through ``pack`` unchanged.
+there are fewer buckets; other columns pass through ``pack`` unchanged, and an added
+column whose name is taken gets a number behind it (:func:`added_names`).
 """
 from __future__ import annotations
 
@@ -23,6 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bookspark.llm.text import free_names
+
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
 SHARD_ROWS = 50_000
@@ -76,33 +82,38 @@ def boundaries(lengths: np.ndarray, rows: np.ndarray, tokens: np.ndarray, bucket
 def choose_buckets(lengths: DataFrame, length_col: str, buckets: int = BUCKETS) -> tuple[list[int], int, int]:
     """Boundaries over the whole table, their padding, and the number of rows."""
     length = F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(1)).cast("long")
-    histogram = (lengths.groupBy(length_class(length).alias("class")).agg(F.count(F.lit(1)).alias("rows"), F.sum(length).alias("tokens"))
+    histogram = (lengths.groupBy(length_class(length).alias("class"))
+                 .agg(F.max(length).alias("longest"), F.count(F.lit(1)).alias("rows"), F.sum(length).alias("tokens"))
                  .orderBy("class").toPandas())
-    found, padding = boundaries(*(histogram[c].to_numpy(np.int64) for c in ("class", "rows", "tokens")), buckets)
+    found, padding = boundaries(*(histogram[c].to_numpy(np.int64) for c in ("longest", "rows", "tokens")), buckets)
     return found, padding, int(histogram["rows"].sum())
 
 
+def added_names(columns: list[str]) -> dict[str, str]:
+    """The names that ``pack`` gives its columns beside ``columns``."""
+    return free_names(columns, ["bucket_tokens", "batch_id", "batch_rows"])
+
+
 def assign(rows: DataFrame, length_col: str, found: list[int], n_rows: int, budget: int = TOKEN_BUDGET, order_by: list[str] | None = None,
            shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Adds ``bucket_tokens`` (the boundary), ``batch_id`` and ``batch_rows`` (the batch's room)."""
+    bucket, batch, room = added_names(rows.columns).values()
     if not found:
-        return rows.select("*", F.lit(None).cast("long").alias("bucket_tokens"), F.lit(None).cast("string").alias("batch_id"),
-                           F.lit(None).cast("long").alias("batch_rows"))
+        return rows.select("*", F.lit(None).cast("long").alias(bucket), F.lit(None).cast("string").alias(batch), F.lit(None).cast("long").alias(room))
     shards = -(-n_rows // shard_rows)
     length = F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(1)).cast("long")
     boundary = F.array_min(F.filter(F.array(*(F.lit(b).cast("long") for b in found)), lambda b: b >= length))
     order_by = order_by or []
-    dealt = (rows.withColumn("bucket_tokens", boundary)
-             .withColumn("batch_rows", F.greatest(F.floor(F.lit(budget) / F.col("bucket_tokens")), F.lit(1)).cast("long"))
-             .withColumn("batch_id", F.pmod(F.xxhash64(F.monotonically_increasing_id(), length, *order_by), F.lit(shards))))
-    place = Window.partitionBy("bucket_tokens", "batch_id").orderBy(length, *order_by)
-    number = F.floor((F.row_number().over(place) - 1) / F.col("batch_rows"))
-    return dealt.withColumn("batch_id", F.concat_ws("-", "bucket_tokens", "batch_id", number))
+    dealt = (rows.withColumn(bucket, boundary)
+             .withColumn(room, F.greatest(F.floor(F.lit(budget) / F.col(bucket)), F.lit(1)).cast("long"))
+             .withColumn(batch, F.pmod(F.xxhash64(F.monotonically_increasing_id(), length, *order_by), F.lit(shards))))
+    place = Window.partitionBy(bucket, batch).orderBy(length, *order_by)
+    number = F.floor((F.row_number().over(place) - 1) / F.col(room))
+    return dealt.withColumn(batch, F.concat_ws("-", bucket, batch, number))
 
 
 def pack(rows: DataFrame, length_col: str, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, order_by: list[str] | None = None,
          shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """All columns and the batch of each row; columns of the added names are replaced."""
-    rows = rows.drop("bucket_tokens", "batch_id", "batch_rows")
+    """All columns and the batch of each row."""
     found, _, n = choose_buckets(rows, length_col, buckets)
     return assign(rows, length_col, found, n, budget, order_by, shard_rows)

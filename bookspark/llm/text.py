@@ -5,7 +5,8 @@ A word is a run of bytes other than space and ``\\t\\n\\v\\f\\r``, which is what
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import count
 
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SPACES = b" \t\n\x0b\x0c\r"
@@ -31,3 +32,14 @@ def word_pieces(data: bytes, piece: int = PIECE, lower: bool = True) -> Iterator
         part = data[start:end]
         yield (part.translate(ASCII_LOWER) if lower else part).split()
         start = end
+
+
+def free_names(taken: Iterable[str], wanted: Sequence[str]) -> dict[str, str]:
+    """A name for each wanted column that no taken column has (Spark ignores case):
+    itself, or with the first free number behind it."""
+    used, found = {c.lower() for c in taken}, {}
+    for name in wanted:
+        numbered = (name if not i else f"{name}_{i}" for i in count())
+        found[name] = next(n for n in numbered if n.lower() not in used)
+        used.add(found[name].lower())
+    return found

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookspark.llm.text import to_bytes, word_pieces
+from bookspark.llm.text import free_names, to_bytes, word_pieces
 
 CACHE_WORDS = 200_000
 START, MORE = 0, 1
@@ -158,7 +158,7 @@ class WordCounts(dict):
         return value
 
 
-def _count_batches(batches, automaton, lower: bool, text_at: int):
+def _count_batches(batches, automaton, lower: bool, text_at: int, names: list[str]):
     known = WordCounts(LongestMatch(*automaton.value))
     for batch in batches:
         words, tokens, unknown = [], [], []
@@ -171,20 +171,25 @@ def _count_batches(batches, automaton, lower: bool, text_at: int):
             tokens.append(total % UNKNOWN)
             unknown.append(total // UNKNOWN)
         yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.int64()) for v in (words, tokens, unknown))],
-                                         [*batch.schema.names, *COUNTS])
+                                         [*batch.schema.names, *names])
+
+
+def added_names(columns: list[str]) -> dict[str, str]:
+    """The names that ``with_token_counts`` gives its columns beside ``columns``."""
+    return free_names(columns, COUNTS)
 
 
 def with_token_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lower: bool = False,
                       cover: bool = False) -> DataFrame:
     """All columns, and ``n_words, n_tokens, n_unknown`` of every row's whole text;
-    columns of these names are replaced."""
+    a name that is taken gets a number behind it (:func:`added_names`)."""
     if cover:
         check_cover(vocabulary_path)
     built = LongestMatch.build(*load_pieces(vocabulary_path), cover)
     automaton = docs.sparkSession.sparkContext.broadcast((built.arcs, built.fail, built.popped))
-    docs = docs.drop(*COUNTS)
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
-    return docs.mapInArrow(partial(_count_batches, automaton=automaton, lower=lower, text_at=docs.columns.index(text_col)), schema)
+    names = list(added_names(docs.columns).values())
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in names)])
+    return docs.mapInArrow(partial(_count_batches, automaton=automaton, lower=lower, text_at=docs.columns.index(text_col), names=names), schema)
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text", id_col: str = "doc_id", lower: bool = False,

@@ -43,10 +43,25 @@ def test_batches_keep_to_the_budget(spark):
         batches = defaultdict(list)
         for r in got:
             assert r["bucket_tokens"] >= max(r["n"] or 0, 1)
-            batches[r["batch_id"]].append(r)
+            assert r["batch_id"] == 3  # the input's own
+            batches[r["batch_id_1"]].append(r)
         for rs in batches.values():
             assert len({r["bucket_tokens"] for r in rs}) == 1 and len(rs) <= rs[0]["batch_rows"]
             assert len(rs) * rs[0]["bucket_tokens"] <= 4096 or len(rs) == 1
         unfilled = Counter(rs[0]["bucket_tokens"] for rs in batches.values() if len(rs) < rs[0]["batch_rows"])
         assert max(unfilled.values()) <= -(-len(rows) // shard)
     assert P.pack(df.limit(0), "n").count() == 0
+
+
+def test_padding_is_that_of_the_best_boundaries_at_any_length(spark):
+    rnd = random.Random(13)
+    for top in (400, 30_000):
+        lengths = [rnd.randint(1, top) for _ in range(9)]
+        df = spark.createDataFrame([(x,) for x in lengths for _ in range(rnd.randint(1, 4))], "n long")
+        hist = Counter(r["n"] for r in df.collect())
+        found, padding, n = P.choose_buckets(df, "n", 3)
+        best = min(_padding(hist, (*c, max(lengths))) for c in combinations(sorted(set(lengths) - {max(lengths)}), 2))
+        assert set(found) <= set(lengths) and n == sum(hist.values())
+        assert padding == _padding(hist, found) and best <= padding <= best + (0 if top <= 512 else sum(x * k for x, k in hist.items()) / 256)
+        got = P.pack(df, "n", buckets=3, budget=10**6)
+        assert got.agg(F.sum(F.col("bucket_tokens") - F.col("n"))).first()[0] == padding
