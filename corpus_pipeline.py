@@ -20,7 +20,7 @@ from bookspark.llm import line_dedup as lines
 from bookspark.llm import packing as pack
 from bookspark.llm import quality as classifier
 from bookspark.llm import simhash
-from bookspark.llm.token_counts import with_token_counts
+from bookspark.llm.token_counts import added_names, with_token_counts
 from bookspark.session import write_and_reload
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with token counts, length bucket and batch."""
-    return pack.pack(with_token_counts(docs, VOCABULARY, cover=True), "n_tokens", order_by=["doc_id"])
+    return pack.pack(with_token_counts(docs, VOCABULARY, cover=True), added_names(docs.columns)["n_tokens"], order_by=["doc_id"])
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", packing)]
