@@ -109,3 +109,15 @@ def test_a_missing_dimension_is_an_empty_finding(spark, sf):
     found = Q.dispatch(sales, asked)
     assert set(found) == {"ranking_by_vendor", "quiet_days"}
     assert found["ranking_by_vendor"].count() == 0 and found["quiet_days"].count() == 7
+
+
+def test_answers_to_odd_questions(spark, sf):
+    """Null texts and ids are answered over all rows, repeated questions each once, no question gives no row."""
+    from bookspark.operators import retrieval as R
+    s = T.sales(spark, sf)
+    idx = R.build_index(R.row_documents(s, id_col="line_id"))
+    asked = spark.createDataFrame([(1, None, None), (None, "", None), (2, None, "quiet_days"), (2, None, "quiet_days")], "question_id bigint, text string, label string")
+    got = Q.answer_questions(s, idx, asked, id_col="line_id").collect()
+    assert sorted((r["question_id"] or 0, r["route"]) for r in got) == [(0, "retrieval"), (1, "retrieval"), (2, "analysis"), (2, "analysis")]
+    assert {r["orders"] for r in got} == {s.count()} and len({r["lead"] for r in got if r["route"] == "analysis"}) == 1
+    assert Q.answer_questions(s, idx, asked.limit(0), id_col="line_id").count() == 0
