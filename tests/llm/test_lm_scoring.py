@@ -57,34 +57,47 @@ def _key(r):
     return str(r[:5]) + f"{r[5]:.6f} {r[6]:.6f}"
 
 
-@pytest.mark.parametrize("s_words, l_words", [(6, 20), (40, 40), (3, 3), (4096, 65536)])
-def test_matches_brute_force(spark, s_words, l_words):
-    rnd = random.Random(s_words)
-    words = ["the", "The", "of", "and", *(f"w{i}" for i in range(60))]
-    rows = [(i, " ".join(rnd.choice(words[:5] if rnd.random() < 0.5 else words) for _ in range(rnd.choice([1, 5, 40])))) for i in range(60)]
-    rows += [(100, None), (101, ""), (None, "the of and"), (102, "new\x0bwords\there é"), (7, "the of"), (7, "the of")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("clash"))
-    got = sorted((tuple(r) for r in LM.score_documents(df, state_words=s_words, local_words=l_words).collect()), key=_key)
-    for a, b in zip(got, sorted(_brute(rows, s_words, l_words), key=_key), strict=True):
+def _same(got, want):
+    for a, b in zip(sorted(got, key=_key), sorted(want, key=_key), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
 
 
-def test_state_is_carried_over_pieces_of_a_long_text(spark, monkeypatch):
+@pytest.fixture
+def small_blocks(monkeypatch):
+    for name, value in (("PAIRS_AT_ONCE", 50), ("DOCS_AT_ONCE", 7), ("BUCKET_TOKENS", 200)):
+        monkeypatch.setattr(LM, name, value)
+
+
+def test_state_is_carried_over_pieces_of_a_long_text(spark, monkeypatch, small_blocks):
     from bookspark.llm import text as TX
-    long = " ".join(random.Random(1).choice(["a", "b", "c d", "e"]) for _ in range(3000))
+    long = " ".join(random.Random(1).choice(["a", "b", "c d", "e", "f g h"]) for _ in range(3000))
     monkeypatch.setattr(TX.word_pieces, "__defaults__", (50, True))
-    rows = [(1, long), (2, "a b"), (3, "a c d")]
-    got = sorted(tuple(r) for r in LM.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), state_words=4).collect())
-    for a, b in zip(got, _brute(rows, 4, 65536), strict=True):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+    rows = [(1, long), (2, "a b"), (3, "a c d"), (7, "h " + long), (7, "h a"), (200, long + " new"), (None, "e e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for cache_words in (0, 4, 4096):
+        _same([tuple(r) for r in LM.score_documents(df, local_words=5, cache_words=cache_words).collect()], _brute(rows, 10**6, 10**6))
 
 
 def test_no_training_text_and_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert LM.score_documents(empty).count() == 0
-    model = LM.train(empty)
-    (row,) = LM.score(spark.createDataFrame([(1, "a b")], empty.schema), model).collect()
-    assert (row["n_tokens"], row["n_known"], row["base_score"], row["score"]) == (3, 0, 0.0, 0.0)
+    df = spark.createDataFrame([(i, "a b") for i in range(40)], empty.schema)
+    for row in LM.score_documents(df.filter(LM.held_out(df["doc_id"]))).collect():
+        assert (row["n_tokens"], row["n_known"], row["base_score"], row["score"]) == (3, 0, 0.0, 0.0)
+
+
+def test_blocks_come_back_as_they_were():
+    import numpy as np
+    for size in (0, 1, 1000):
+        a, b = np.random.default_rng(size).integers(-2**63, 2**63 - 1, (2, size)), np.linspace(-1, 1, size)
+        x, y, z = LM._unpack(LM._pack(*a, b), 3)
+        assert (x == a[0]).all() and (y == a[1]).all() and (z.view(np.float64) == b).all()
+
+
+def test_ids_of_any_type(spark):
+    rows = [("x", "a b a"), ("y", "b"), ("y", "b"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("chunk", F.lit(1))
+    _same([tuple(r) for r in LM.score_documents(df).collect()], _brute(rows, 10**6, 10**6))
 
 
 def test_held_out_documents_score_better_than_the_base(spark, sf):
@@ -94,16 +107,13 @@ def test_held_out_documents_score_better_than_the_base(spark, sf):
 
 
 @pytest.mark.parametrize("cache_words, l_words", [(0, 0), (3, 5), (6, 40), (4096, 65536)])
-def test_all_pairs_are_arcs_whatever_the_cache_holds(spark, monkeypatch, cache_words, l_words):
-    monkeypatch.setattr(LM, "PAIRS_AT_ONCE", 50)
+def test_all_pairs_are_arcs_whatever_the_cache_holds(spark, small_blocks, cache_words, l_words):
     rnd = random.Random(8)
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rnd.choice(words[:6] if rnd.random() < 0.5 else words) for _ in range(rnd.choice([1, 5, 40])))) for i in range(60)]
     rows += [(100, None), (101, ""), (None, "w1 w2"), (102, "new w1\x0bwords new"), (7, "w1 w59"), (7, "w1 w59"), (200, "rare pair"), (201, "rare pair"), (205, "rare pair x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit("clash"))
-    got = sorted((tuple(r) for r in LM.score_documents(df, local_words=l_words, cache_words=cache_words).collect()), key=_key)
-    for a, b in zip(got, sorted(_brute(rows, 10**6, 10**6), key=_key), strict=True):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+    _same([tuple(r) for r in LM.score_documents(df, local_words=l_words, cache_words=cache_words).collect()], _brute(rows, 10**6, 10**6))
     held = [r for r in rows if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 == 2]
     assert held and LM.score_documents(df.filter(held_out_only(df)), cache_words=cache_words).agg(F.sum("n_known")).first()[0] == 0
 
