@@ -4,7 +4,7 @@ Method.  A line is the set of its words.  The words of each line are ordered by
 rarity; two lines of Jaccard similarity ``t`` or more share a word among the first
 ``n - ceil(t * n) + 1`` of each (prefix filter).  Of lines that meet on such a word,
 those pass whose lengths fit, whose positions leave room for the overlap, and whose
-256-bit word parities do not already differ in more bits than words may differ.  The
+word parities (128 or 256 bits) do not already differ in more bits than words may differ.  The
 rest are verified on the words themselves.  A line goes if it is like an earlier one
 (by id, text hash, line number); the earliest stays.
 
@@ -73,14 +73,24 @@ def _once(c: Column, name: str) -> Column:
 
 
 PARITIES = ["a", "b", "c", "d"]
-WIDE_WORDS = 32
+# Lines up to this length are told apart by 128 bits: parities of unlike lines differ in about
+# half the bits, and lines of n words that may match in n / 5 at most.
+WIDE_WORDS = 128
 
 
-def _parity(tokens: str, quarter: int) -> Column:
-    """64 bits, each the parity of the words that are hashed to it; a word counts in one of four quarters."""
+def _parity(tokens: Column) -> Column:
+    """64 bits, each the parity of the words that are hashed to it."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 2).bitwiseAND(F.lit(63)).cast("int"))
-    mine = F.filter(tokens, lambda x: x.bitwiseAND(F.lit(3)) == quarter)
-    return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
+
+
+def _parities(tokens: str) -> list[Column]:
+    """The four columns of a line: of long lines each holds the words of one quarter; of others
+    the quarters are folded into two columns, and zeros cost little in a shuffle."""
+    none = F.lit(0).cast("long")
+    part = lambda mask, k: _parity(F.filter(tokens, lambda x: x.bitwiseAND(F.lit(mask)) == k))
+    folded = [part(1, 0), part(1, 1), none, none]
+    return [F.when(F.size(tokens) <= WIDE_WORDS, two).otherwise(part(3, k)) for k, two in enumerate(folded)]
 
 
 def _overlap(n: Column, m: Column, t: float) -> Column:
@@ -96,11 +106,7 @@ def distinct_lines(documents: DataFrame, t: float) -> DataFrame:
     place = lambda w: F.coalesce(F.get(rank, F.octet_length(w)), F.lit(LENGTHS - 1).cast("long"))
     token = F.transform(words(F.col("line")), lambda w: F.shiftleft(place(w), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(low)))
     n = F.size("tokens")
-    a, b, c, d = (_parity("tokens", i) for i in range(4))
-    wide = n > WIDE_WORDS  # a short line needs two of the four; zeros cost little in a shuffle
-    none = F.lit(0).cast("long")
-    of = F.struct(n.alias("n"), F.when(wide, a).otherwise(a.bitwiseXOR(c)).alias("a"), F.when(wide, b).otherwise(b.bitwiseXOR(d)).alias("b"),
-                  F.when(wide, c).otherwise(none).alias("c"), F.when(wide, d).otherwise(none).alias("d"),
+    of = F.struct(n.alias("n"), *[p.alias(k) for k, p in zip(PARITIES, _parities("tokens"))],
                   F.transform(F.slice("tokens", 1, n - F.ceil(n * F.lit(t) - EPS).cast("int") + 1), lambda x: F.hash(x)).alias("prefix"))
     folded = (_lines(documents)
               .select("id", "th", "line_no", F.unhex(F.md5("line")).alias("hash"), _once(F.sort_array(F.array_distinct(token)), "tokens"))

@@ -43,12 +43,14 @@ def _rows(seed):
                    (7, rows[7][1], "repeated"), (7, "other text\nwith two lines", "id again"), (503, "\n".join(["again and again"] * 500), "")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 5])
 def test_matches_brute_force(spark, seed, monkeypatch):
     rows = _rows(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string, line string")
     if seed == 2:
         monkeypatch.setattr(L, "BROADCAST_LINES", 0)
+    if seed == 5:  # lines of both parity widths, matched across them
+        monkeypatch.setattr(L, "WIDE_WORDS", 16)
     got = sorted((repr(r["doc_id"]), r["n_lines"], r["removed_lines"]) for r in L.line_report(df).collect())
     assert got == _brute(rows)
 
