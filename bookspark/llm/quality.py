@@ -11,9 +11,9 @@ threshold of a language is a quantile of the perplexity of those trusted documen
 their number, so that few documents set no tight bound; documents above it are
 rejected.
 
-Scale.  Training reads at most ``max_trusted`` ids of those it may learn (smallest hash
-first; a documented bound of the fitted sample), counted before any shuffle.
-Thresholds rest on all other trusted documents, however many; their ids are joined.  The model
+Scale.  Training reads every trusted document that thresholds do not hold out (a caller may
+bound them by ``max_trusted``: smallest hash first, the others then serve the thresholds).
+Thresholds rest on all other trusted documents, however many; all ids are joined.  The model
 grows with the distinct n-grams of the trusted text; it is broadcast when its counted rows are
 at most ``BROADCAST_ROWS``, and joined by shuffle beyond.  A document's n-grams are
 summed in the task that scans it; one row per document is shuffled.  Quantiles
@@ -39,7 +39,6 @@ from bookspark.session import write_and_reload
 ORDER = 4
 SYMBOLS = 256
 PAD = 0xFF  # no UTF-8 text holds this byte
-MAX_TRUSTED = 200_000
 BROADCAST_ROWS = 4_000_000
 QUANTILE = 0.99
 FOLDS = 4
@@ -207,15 +206,16 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang",
-             order: int = ORDER, quantile: float = QUANTILE, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+             order: int = ORDER, quantile: float = QUANTILE, max_trusted: int | None = None) -> DataFrame:
     """``(_id, _lang, _hash, perplexity, threshold, keep)`` of every distinct id, language and text.
     Trusted are the documents with quality 1 that are not toxic."""
     trusted_ids = write_and_reload(
         labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("_trusted")).distinct(), "trusted")
     unseen = F.pmod(F.xxhash64("_trusted", F.lit("unseen by training")), F.lit(FOLDS)) == 0
-    learnt = F.broadcast(write_and_reload(
-        trusted_ids.filter(~unseen).orderBy(F.xxhash64("_trusted"), "_trusted").limit(max_trusted), "learnt"))  # at most max_trusted ids
+    learnt = trusted_ids.filter(~unseen)
+    if max_trusted is not None:
+        learnt = write_and_reload(learnt.orderBy(F.xxhash64("_trusted"), "_trusted").limit(max_trusted), "learnt")
     model = train(docs.join(learnt, docs[id_col] == learnt["_trusted"], "left_semi"), text_col, order)
     scored = write_and_reload(perplexity(docs, model, text_col, id_col, lang_col), "perplexity")
     judged = trusted_ids.join(learnt, "_trusted", "left_anti")

@@ -115,3 +115,12 @@ def test_rare_scripts_are_told_from_their_junk(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in [*range(100), *range(2000, 2300)]], "doc_id long, quality int, toxic int")
     kept = {r["doc_id"] for r in Q.keep_good(docs, labels).collect()}
     assert not [i for i in kept if 1000 <= i < 1020] and sum(i < 150 for i in kept) >= 140 and sum(i >= 2000 for i in kept) >= 390
+
+
+def test_training_reads_every_trusted_document_not_held_out(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(Q, "train", lambda trusted, text_col, order: read.append(trusted.count()) or Q.QualityModel(None, order))
+    docs = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit("en").alias("lang"))
+    labels = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    Q.classify(docs, labels, order=2)
+    assert 220_000 < read[0] < 230_000  # three quarters, no bound
