@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookspark.operators import analyses as A
+from bookspark.session import write_and_reload
 from bookspark.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,7 +282,7 @@ def q_bm25_terms(spark, sf):
 @register("bm25_search")
 def q_bm25_search(spark, sf):
     from bookspark.operators import retrieval as R
-    idx = R.build_index(_sales_docs(spark, sf))
+    idx = R.build_index(write_and_reload(_sales_docs(spark, sf), "documents"))
     return R.search(idx, _queries_df(spark, SEARCH_QUERIES), top_k=20)
 
 
@@ -297,7 +298,7 @@ def q_bm25_documents(spark, sf):
 @register("retrieval_summary")
 def q_retrieval_summary(spark, sf):
     from bookspark.operators import retrieval as R
-    s = T.sales(spark, sf)
+    s = T.sales_once(spark, sf)
     idx = R.build_index(R.row_documents(s, id_col="line_id"))
     return R.retrieval_summary(s, idx, _queries_df(spark, SEARCH_QUERIES), top_k=50, id_col="line_id")
 
@@ -369,14 +370,15 @@ def q_column_samples(spark, sf):
 @register("column_mapping")
 def q_column_mapping(spark, sf):
     from bookspark.operators import mapping as M
-    return M.infer_mapping(T.sales_raw(spark, sf))
+    raw, headers = M.packed_once(T.sales_raw(spark, sf))
+    return M.infer_mapping(raw, headers=headers)
 
 
 @register("apply_mapping")
 def q_apply_mapping(spark, sf):
     from bookspark.operators import mapping as M
-    raw = T.sales_raw(spark, sf)
-    return M.apply_mapping(raw, M.selected_mapping(M.infer_mapping(raw))).drop("_present")
+    raw, headers = M.packed_once(T.sales_raw(spark, sf))
+    return M.apply_mapping(raw, M.selected_mapping(M.infer_mapping(raw, headers=headers)), headers=headers).drop("_present")
 
 
 def _clean_mixed(spark, sf):
@@ -601,7 +603,7 @@ def q_dedupe_typed(spark, sf):
 def q_finding_facts(spark, sf):
     """Every analysis's fact sentences over ``sales``."""
     from bookspark.operators import findings as FD
-    s = T.sales(spark, sf)
+    s = T.sales_once(spark, sf, ["date", "product", "qty", "total", "vendor", "channel", "payment_method"])
     parts = [FD.revenue_facts(s), FD.top_product_facts(s), FD.bottom_product_facts(s),
              FD.monthly_facts(s), FD.dimension_facts(s, "vendor"), FD.dimension_facts(s, "channel"),
              FD.dimension_facts(s, "payment_method"), FD.weekday_facts(s)]
@@ -648,7 +650,7 @@ def q_answer_questions(spark, sf):
         "conv_id", (F.col("turn") - 1).alias("turn"), Q.parse_label(F.col("text")).alias("label"))
     questions = user.join(reply, ["conv_id", "turn"], "left").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text", "label")
-    s = T.sales(spark, sf)
+    s = T.sales_once(spark, sf)
     idx = R.build_index(R.row_documents(s, id_col="line_id"))
     return Q.answer_questions(s, idx, questions, top_k=50, id_col="line_id")
 
@@ -662,7 +664,7 @@ def q_answer_log(spark, sf):
     """Q1 + Q3 + R5 over the routing log: all eight labels occur, and questions without one."""
     from bookspark.operators import retrieval as R
     from bookspark.operators import routing as Q
-    s = T.sales(spark, sf)
+    s = T.sales_once(spark, sf)
     idx = R.build_index(R.row_documents(s, id_col="line_id"))
     return Q.answer_questions(s, idx, _logged(spark, sf), top_k=50, id_col="line_id")
 
@@ -671,7 +673,7 @@ def q_answer_log(spark, sf):
 def q_answer_figures(spark, sf):
     """Q1: the table figures of every labelled question of the routing log."""
     from bookspark.operators import routing as Q
-    return Q.answer_figures(T.sales(spark, sf), _logged(spark, sf)).filter("section = 'table'").drop("section")
+    return Q.answer_figures(T.sales_once(spark, sf, ["date", "product", "qty", "total", "vendor", "channel", "payment_method"]), _logged(spark, sf)).filter("section = 'table'").drop("section")
 
 
 @register("volume_warning_by_year")
