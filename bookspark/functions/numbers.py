@@ -53,11 +53,12 @@ def _at_most(digits: Column, limit: str) -> Column:
 def canonical_whole(c: Column) -> Column:
     """One text per whole number, of any length."""
     digits = _digits(F.trim(c))
-    return F.when(F.trim(c).startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
+    return F.when(c.rlike(PLAIN_WHOLE), c).when(F.trim(c).startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
 
 
 def canonical_decimal(c: Column) -> Column:
-    """One text per number: that of its double if it has few enough digits for one, else its own digits."""
+    """One text per number: that of its double if it has few enough digits for one, else its own digits.
+    Few characters hold few digits, so only long texts have theirs counted."""
     t = F.trim(c)
     x = t.try_cast("double")
     short = F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.try_cast("bigint").cast("string")).otherwise(x.cast("string"))
@@ -65,7 +66,7 @@ def canonical_decimal(c: Column) -> Column:
     long_ = F.length(F.regexp_replace(F.regexp_replace(mantissa, r"[^0-9]", ""), r"^0+|0+$", "")) > EXACT_DIGITS
     spelt = F.regexp_replace(F.regexp_replace(t, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
     spelt = F.when(spelt.rlike(r"^-?\d*\.\d*$"), F.regexp_replace(spelt, r"\.?0*$", "")).otherwise(F.lower(spelt))
-    return F.when(long_, spelt).otherwise(short)
+    return F.when((F.length(t) > EXACT_DIGITS) & long_, spelt).otherwise(short)
 
 
 def spelling(c: Column) -> Column:
@@ -81,6 +82,7 @@ def value_bits(c: Column) -> Column:
     whole = (F.when(F.length(t) < len(MAX_LONG) - 1, INT).when(_at_most(digits, MAX_LONG), INT)
              .when(~t.startswith("-") & _at_most(digits, MAX_UNSIGNED), UINT).otherwise(TEXT))
     return (F.when(c.isNull(), 0)
+             .when(c.rlike(PLAIN_WHOLE), F.when(c.startswith("-"), INT | NEGATIVE).otherwise(INT))
              .when(t.rlike(WHOLE), whole + F.when(t.startswith("-"), NEGATIVE).otherwise(0) + respelt(canonical_whole(c)))
              .when(is_plain_number(c), F.lit(DOUBLE) + respelt(canonical_decimal(c)))
              .when(c.isin(TRUTH), F.lit(BOOL) + respelt(F.initcap(c)))
