@@ -471,8 +471,9 @@ def q_report_rows(spark, sf):
 
 @register("cleaning_rows")
 def q_cleaning_rows(spark, sf):
+    from bookspark.operators import cleaning as C
     from bookspark.sinks import reports as K
-    r = _clean(spark, sf)
+    r = C.written_once(_clean(spark, sf))
     return K.cleaning_rows(r.report, r.mismatches)
 
 
