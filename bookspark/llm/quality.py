@@ -15,7 +15,8 @@ Scale.  Training reads every trusted document that thresholds do not hold out (a
 bound them by ``max_trusted``: smallest hash first, the others then serve the thresholds).
 Thresholds rest on all other trusted documents, however many; all ids are joined.  The model
 grows with the distinct n-grams of the trusted text; it is broadcast when its counted rows are
-at most ``BROADCAST_ROWS``, and joined by shuffle beyond.  A document's n-grams are
+at most ``BROADCAST_ROWS``, and joined by shuffle beyond; so are the ids that training reads
+(``BROADCAST_IDS``) and the rejected ids (``BROADCAST_REJECTED``), so that texts are shuffled only beyond these.  A document's n-grams are
 summed in the task that scans it; one row per document is shuffled.  Quantiles
 come from counts per language and perplexity bin, not from sorted documents.
 
@@ -40,6 +41,7 @@ ORDER = 4
 SYMBOLS = 256
 PAD = 0xFF  # no UTF-8 text holds this byte
 BROADCAST_ROWS = 4_000_000
+BROADCAST_IDS, BROADCAST_REJECTED = 4_000_000, 2_000_000  # ids alone; ids with language and text hash
 QUANTILE = 0.99
 FOLDS = 4
 MARGIN = 1.0  # nats, divided by the root of the number of documents a threshold rests on
@@ -205,6 +207,11 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
             .groupBy("_lang").agg(((F.min("bin") + 1) * F.lit(BIN) + F.lit(MARGIN) / F.sqrt(F.max("all"))).alias("threshold")))
 
 
+def _small(ids: DataFrame, broadcast_rows: int = BROADCAST_IDS) -> DataFrame:
+    """A written or counted table of ids, broadcast up to a bound on its rows, so that texts need no shuffle."""
+    return F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+
+
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang",
              order: int = ORDER, quantile: float = QUANTILE, max_trusted: int | None = None) -> DataFrame:
     """``(_id, _lang, _hash, perplexity, threshold, keep)`` of every distinct id, language and text.
@@ -216,7 +223,7 @@ def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
     learnt = trusted_ids.filter(~unseen)
     if max_trusted is not None:
         learnt = write_and_reload(learnt.orderBy(F.xxhash64("_trusted"), "_trusted").limit(max_trusted), "learnt")
-    model = train(docs.join(learnt, docs[id_col] == learnt["_trusted"], "left_semi"), text_col, order)
+    model = train(docs.join(_small(learnt), docs[id_col] == F.col("_trusted"), "left_semi"), text_col, order)
     scored = write_and_reload(perplexity(docs, model, text_col, id_col, lang_col), "perplexity")
     judged = trusted_ids.join(learnt, "_trusted", "left_anti")
     limits = thresholds(scored.join(judged, F.col("_id") == F.col("_trusted"), "left_semi"), quantile)
@@ -227,7 +234,8 @@ def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", **settings) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
-    rejected = classify(docs, labels, text_col, id_col, lang_col, **settings).filter("NOT keep").select("_id", "_lang", "_hash")
+    rejected = _small(write_and_reload(classify(docs, labels, text_col, id_col, lang_col, **settings).filter("NOT keep").select("_id", "_lang", "_hash"), "rejected"),
+                      BROADCAST_REJECTED)
     text = docs[text_col].cast("string")
     same = (docs[id_col].eqNullSafe(rejected["_id"]) & docs[lang_col].cast("string").eqNullSafe(rejected["_lang"])
             & (F.xxhash64(text) == rejected["_hash"]))

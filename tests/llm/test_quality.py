@@ -124,3 +124,20 @@ def test_training_reads_every_trusted_document_not_held_out(spark, monkeypatch):
     labels = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     Q.classify(docs, labels, order=2)
     assert 220_000 < read[0] < 230_000  # three quarters, no bound
+
+
+def test_texts_are_not_shuffled_for_ids_within_the_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "en", f"plain words number {i} in a line") for i in range(40)] + [(99, "en", "#@!~^&*()|zq}{][")], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        within = Q.keep_good(docs, labels)
+        assert "SortMergeJoin" not in within._jdf.queryExecution().executedPlan().toString()
+        kept = sorted(r["doc_id"] for r in within.collect())
+        monkeypatch.setattr(Q, "BROADCAST_REJECTED", 0)
+        beyond = Q.keep_good(docs, labels)
+        assert "SortMergeJoin" in beyond._jdf.queryExecution().executedPlan().toString()
+        assert kept == sorted(r["doc_id"] for r in beyond.collect()) and 99 not in kept
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
