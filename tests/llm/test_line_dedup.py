@@ -1,9 +1,12 @@
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from bookspark.llm import line_dedup as L
+from bookspark.session import SHUFFLE_CLEANUP
 
 
 def _brute(rows, t=0.8):
@@ -77,3 +80,53 @@ def test_plan_has_no_python(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert L.line_report(df).count() == 0 and L.dedup(df).count() == 0
+
+
+def test_shuffle_files_go_with_the_tables_they_served(spark):
+    places = [Path(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    shuffles = lambda: {f.name.split("_")[1] for d in places for f in d.rglob("shuffle_*.data")}
+    df = spark.createDataFrame(_rows(6), "doc_id long, text string, x string")
+    before, setting = shuffles(), spark.conf.get(SHUFFLE_CLEANUP)
+    L.removed_lines(df)
+    until = time.time() + 10
+    while len(shuffles() - before) > 5 and time.time() < until:  # they go in the background
+        time.sleep(0.2)
+    assert len(shuffles() - before) <= 5  # of the word counts, and of counts of rows
+    assert spark.conf.get(SHUFFLE_CLEANUP) == setting
+
+
+def test_a_frequent_long_word_comes_behind_rare_short_ones(spark):
+    text = "\n".join(f"internationalisation w{i}" for i in range(3000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rank = L.rarity(L._documents(df, "text", "doc_id"))
+    words = spark.createDataFrame([("internationalisation",), ("w7",), ("w2999",), ("w",)], "w string")
+    got = {r["w"]: r["p"] for r in words.select("w", L.place(F.col("w"), rank).alias("p")).collect()}
+    assert got["internationalisation"] > max(got["w7"], got["w2999"]) and max(got.values()) < L.CLASSES * L.LENGTHS
+
+
+def test_prefixes_are_shuffled_once_for_both_sides(spark, monkeypatch):
+    plans, write = [], L.write_and_free
+    monkeypatch.setattr(L, "write_and_free", lambda df, name: (plans.append((name, df)), write(df, name))[1])
+    df = spark.createDataFrame(_rows(7), "doc_id long, text string, x string")
+    L.removed_lines(df)
+    rest = [d for name, d in plans if name == "pairs"][-1]
+    fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in fixed}
+    try:
+        for k, v in fixed.items():
+            spark.conf.set(k, v)
+        plan = rest.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("+- Exchange hashpartitioning(token") == 1 and "ReusedExchange" in plan
+
+
+def test_near_copies_meet_one_leader_of_each_word(spark, monkeypatch):
+    sizes, write = [], L.write_and_free
+    monkeypatch.setattr(L, "write_and_free", lambda df, name: (out := write(df, name), name == "pairs" and sizes.append(out.count()))[0])
+    base = [f"word{i}" for i in range(40)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1:])) for i in range(120) for k in [i % 40]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in L.line_report(df).collect()} == {i: int(i > 0) for i in range(120)}
+    assert sizes[0] <= L.LEAD_WORDS * 120 and sum(sizes) <= 6 * 120
